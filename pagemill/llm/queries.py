@@ -2,14 +2,38 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import packing, pii, quality, substring_dedup, topk
 from .common import load
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file; the files are installed, not part of this repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_pii_deobfuscation(spark, sf_dir):
+    return pii.digest(pii.find(load(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op3_quality_rules(spark, sf_dir):
+    return quality.digest(quality.judge(load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")))
+
+
 def op4_substring_dedup(spark, sf_dir):
     return substring_dedup.digest(substring_dedup.remove_repeats(load(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
-QUERIES = {f.__name__: f for f in (op4_substring_dedup,)}
+def op7_best_fit_packing(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), with_ids=False)
+
+
+def op10_exact_topk(spark, sf_dir):
+    return topk.top_k(load(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op2_pii_deobfuscation, op3_quality_rules, op4_substring_dedup, op7_best_fit_packing, op10_exact_topk)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality.SQL, "op10_exact_topk": topk.SQL}
