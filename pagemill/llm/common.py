@@ -79,3 +79,33 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
 
 def kept_schema(df: DataFrame, *fields: str) -> str:
     return ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), *fields])
+
+
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
+    """Runs of rows with one key, from a partition sorted by it."""
+    held, now = [], None
+    for b in batches:
+        for row in b.to_pylist():
+            if held and row[key] != now:
+                yield now, held
+                held = []
+            now = row[key]
+            held.append(row)
+    if held:
+        yield now, held
+
+
+def shrink(a: np.ndarray) -> bytes:
+    """Byte planes of an array, compressed."""
+    import zstandard
+
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T) if len(a) else a
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def grow(blob: bytes, kind) -> np.ndarray:
+    import zstandard
+
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(flat.reshape(size, -1).T).view(kind).ravel()

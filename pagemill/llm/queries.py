@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, pii, quality, substring_dedup, topk
+from . import katz, packing, pii, quality, substring_dedup, topk
 from .common import load
 
 
@@ -30,10 +30,17 @@ def op7_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), with_ids=False)
 
 
+def op9_katz_lm(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    held = katz.held_out(docs)
+    scored = katz.score(docs.withColumn("train", ~held))
+    return scored.withColumn("held_out", ~scored["train"]).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_exact_topk(spark, sf_dir):
     return topk.top_k(load(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_deobfuscation, op3_quality_rules, op4_substring_dedup, op7_best_fit_packing, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op2_pii_deobfuscation, op3_quality_rules, op4_substring_dedup, op7_best_fit_packing, op9_katz_lm, op10_exact_topk)}
 
 ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality.SQL, "op10_exact_topk": topk.SQL}

@@ -55,7 +55,7 @@ class Words:
     data: the bytes; start, end: of each word there; first: of each text its first word, with the total at the end.
     """
 
-    def __init__(self, texts: pa.Array, tidy: bool = False):
+    def __init__(self, texts: pa.Array, tidy: bool = False, lower: bool = False):
         texts = texts.cast(pa.large_binary())
         if texts.null_count:
             texts = texts.fill_null(b"")
@@ -64,6 +64,8 @@ class Words:
         lo = int(offsets[0])
         data = np.frombuffer(data, np.uint8, int(offsets[-1]) - lo, lo) if data is not None else np.zeros(0, np.uint8)
         offsets = offsets - lo
+        if lower:
+            data = data + np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
         space = SPACE[data]
         if tidy and len(data):
             data, offsets, space = self._tidy(data, offsets, space)
