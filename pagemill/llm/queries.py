@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import katz, packing, pii, quality, substring_dedup, topk
+from . import bagminhash, katz, packing, pii, quality, substring_dedup, topk
 from .common import load
 
 
@@ -25,6 +25,10 @@ def op4_substring_dedup(spark, sf_dir):
     return substring_dedup.digest(substring_dedup.remove_repeats(load(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op6_bagminhash(spark, sf_dir):
+    return bagminhash.classes(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size")
+
+
 def op7_best_fit_packing(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), with_ids=False)
@@ -41,6 +45,6 @@ def op10_exact_topk(spark, sf_dir):
     return topk.top_k(load(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_deobfuscation, op3_quality_rules, op4_substring_dedup, op7_best_fit_packing, op9_katz_lm, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op2_pii_deobfuscation, op3_quality_rules, op4_substring_dedup, op6_bagminhash, op7_best_fit_packing, op9_katz_lm, op10_exact_topk)}
 
 ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality.SQL, "op10_exact_topk": topk.SQL}
