@@ -68,8 +68,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = np.frombuffer(batch.column(text).cast(pa.large_binary()).buffers()[1], np.int64)
-        size = size[batch.column(text).offset :][: batch.num_rows + 1]
+        column = batch.column(text).cast(pa.large_binary())
+        size = np.frombuffer(column.buffers()[1], np.int64)[column.offset :][: batch.num_rows + 1]
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(size, size[at] + limit, "right")) - 1)
