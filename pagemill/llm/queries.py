@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bagminhash, katz, packing, pii, quality, substring_dedup, topk
+from . import bagminhash, katz, packing, pii, quality, substring_dedup, topk, toxicity
 from .common import load
 
 
@@ -25,6 +25,11 @@ def op4_substring_dedup(spark, sf_dir):
     return substring_dedup.digest(substring_dedup.remove_repeats(load(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op5_toxicity(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.digest(toxicity.fit(docs, load(spark, sf_dir, "labels")).score(docs))
+
+
 def op6_bagminhash(spark, sf_dir):
     return bagminhash.classes(load(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size")
 
@@ -45,6 +50,6 @@ def op10_exact_topk(spark, sf_dir):
     return topk.top_k(load(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_deobfuscation, op3_quality_rules, op4_substring_dedup, op6_bagminhash, op7_best_fit_packing, op9_katz_lm, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op2_pii_deobfuscation, op3_quality_rules, op4_substring_dedup, op5_toxicity, op6_bagminhash, op7_best_fit_packing, op9_katz_lm, op10_exact_topk)}
 
 ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality.SQL, "op10_exact_topk": topk.SQL}
