@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bagminhash, katz, packing, pii, quality, substring_dedup, topk, toxicity
+from . import bagminhash, katz, packing, pieces, pii, quality, substring_dedup, topk, toxicity
 from .common import load
 
 
@@ -39,6 +39,10 @@ def op7_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"), with_ids=False)
 
 
+def op8_sampled_pieces(spark, sf_dir):
+    return pieces.checked(load(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("piece_bpe_32k.model"))
+
+
 def op9_katz_lm(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     held = katz.held_out(docs)
@@ -50,6 +54,6 @@ def op10_exact_topk(spark, sf_dir):
     return topk.top_k(load(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_deobfuscation, op3_quality_rules, op4_substring_dedup, op5_toxicity, op6_bagminhash, op7_best_fit_packing, op9_katz_lm, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op2_pii_deobfuscation, op3_quality_rules, op4_substring_dedup, op5_toxicity, op6_bagminhash, op7_best_fit_packing, op8_sampled_pieces, op9_katz_lm, op10_exact_topk)}
 
 ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality.SQL, "op10_exact_topk": topk.SQL}
