@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bagminhash, katz, packing, pieces, pii, quality, substring_dedup, topk, toxicity
+from . import bagminhash, chat, katz, packing, pieces, pii, quality, substring_dedup, topk, toxicity
 from .common import load
 
 
@@ -13,6 +13,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_tool_call_linking(spark, sf_dir):
+    calls, results = chat.extract(chat.told_as_calls(load(spark, sf_dir, "conversations")))
+    return chat.link(calls, results, chat.SCHEMAS)
+
+
 def op2_pii_deobfuscation(spark, sf_dir):
     return pii.digest(pii.find(load(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -54,6 +59,6 @@ def op10_exact_topk(spark, sf_dir):
     return topk.top_k(load(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pii_deobfuscation, op3_quality_rules, op4_substring_dedup, op5_toxicity, op6_bagminhash, op7_best_fit_packing, op8_sampled_pieces, op9_katz_lm, op10_exact_topk)}
+QUERIES = {f.__name__: f for f in (op1_tool_call_linking, op2_pii_deobfuscation, op3_quality_rules, op4_substring_dedup, op5_toxicity, op6_bagminhash, op7_best_fit_packing, op8_sampled_pieces, op9_katz_lm, op10_exact_topk)}
 
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality.SQL, "op10_exact_topk": topk.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_tool_call_linking": chat.SQL, "op3_quality_rules": quality.SQL, "op10_exact_topk": topk.SQL}
