@@ -29,7 +29,7 @@ from .common import slices
 WIDTH, STEP, GRAM = 3, 2, 5
 #: Labelled rows read at most: toxic and ordinary ones for the dictionaries, and any for calibration.
 SAMPLE = {"toxic": 2500, "ordinary": 2500, "calibration": 6000}
-ORDINARY, TOXIC, TAIL = 110_000, 6_000, 64
+ORDINARY, TOXIC, TAIL = 110_000, 6_000, 24
 #: A 5-gram or word is typical if so many times as common in toxic texts, in at least so large a share of them.
 TIMES, SHARE = 60, 0.015
 LIMIT = 0.7
@@ -119,7 +119,7 @@ class Savings:
 
         self.tail = ordinary[-TAIL:]
         size = {"source_size": 120, "dict_size": ORDINARY + TOXIC}
-        p = z.ZstdCompressionParameters.from_level(5, **size, strategy=z.STRATEGY_LAZY, min_match=4, search_log=6, write_content_size=False, write_checksum=False, write_dict_id=False)
+        p = z.ZstdCompressionParameters.from_level(5, **size, strategy=z.STRATEGY_LAZY, min_match=4, search_log=4, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.of = []
         for content in (ordinary, toxic):
             d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
