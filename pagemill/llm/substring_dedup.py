@@ -30,7 +30,7 @@ WIDTH, GRAM = 35, 4
 RUN = 4096
 #: Grams with more than this share of all super-k-mers are demoted.
 HOT_SHARE = 1e-4
-FLUSH_BYTES, CHUNK = 24 << 20, 6 << 20
+FLUSH_BYTES, CHUNK = 10 << 20, 3 << 20
 TOP = np.uint64(1 << 63)
 
 
