@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a Python worker.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,6 +64,23 @@ def with_row_key(df: DataFrame) -> DataFrame:
     return df.withColumns({ROW[0]: F.xxhash64(*cols), ROW[1]: F.xxhash64(F.lit(7), *cols)})
 
 
+@lru_cache(1)
+def _libc():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def trim() -> None:
+    """Gives freed memory back to the system; a reused worker would else keep the peak of every stage."""
+    pa.default_memory_pool().release_unused()
+    if libc := _libc():
+        libc.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches into runs of rows with about ``limit`` bytes of text; a longer text stands alone."""
     for batch in batches:
@@ -75,6 +93,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             to = max(at + 1, int(np.searchsorted(size, size[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+        trim()
 
 
 def kept_schema(df: DataFrame, *fields: str) -> str:
