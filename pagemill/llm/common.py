@@ -127,4 +127,4 @@ def grow(blob: bytes, kind) -> np.ndarray:
 
     flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(flat.reshape(size, -1).T).view(kind).ravel()
+    return np.array(flat.reshape(size, -1).T, order="C").view(kind).ravel()

@@ -105,7 +105,7 @@ BLOCK = "block long, ids array<long>, train binary, counts binary, words binary,
 BLOCK_TYPE = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("train", "counts", "words", "learn", "codes"))])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     number, parts, size = TaskContext.get().partitionId() << 32, [], 0
@@ -119,7 +119,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h[place], h[ends] = w.hashes(), END
         parts.append((h, counts, np.asarray(b.column("train").fill_null(False).cast(pa.uint8())).astype(bool), b.column("id").to_pylist()))
         size += len(h)
-        if size > BLOCK_TOKENS:
+        if size > tokens:
             yield pa.RecordBatch.from_pylist([_block(number, parts)], BLOCK_TYPE)
             number, parts, size = number + 1, [], 0
     if parts:
@@ -200,11 +200,11 @@ class Block:
     def learned(self) -> np.ndarray:
         return np.bincount(self.pair_of, np.repeat(self.train, self.counts), len(self.context)).astype(np.int64)
 
-    def split(self, buckets: int, tokens: int) -> Iterator[tuple[int, np.ndarray]]:
+    def split(self, buckets: int, tokens: int, hot: int) -> Iterator[tuple[int, np.ndarray]]:
         c, w = self.number_of[self.context], self.number_of[self.word]
         key = mix(c.astype(np.uint64) + np.uint64(1))
-        hot = self.total[self.context] * HOT > tokens
-        key = np.where(hot, mix(key ^ w.astype(np.uint64)), key)
+        far = self.total[self.context] * hot > tokens
+        key = np.where(far, mix(key ^ w.astype(np.uint64)), key)
         return _split(key % np.uint64(buckets), w, c)
 
 
@@ -213,11 +213,11 @@ def _blocks_of(batches, buckets):
         yield rows, Block(rows, buckets)
 
 
-def _send_pairs(buckets: int, tokens: int):
+def _send_pairs(buckets: int, tokens: int, hot: int):
     def run(batches):
         for _, k in _blocks_of(batches, buckets):
             learned, out = k.learned(), []
-            for bucket, i in k.split(buckets, tokens):
+            for bucket, i in k.split(buckets, tokens, hot):
                 c = k.context[i]
                 out.append({"bucket": bucket, "block": k.number, "a": shrink(k.number_of[c]), "b": shrink(k.number_of[k.word[i]]), "c": shrink(np.stack([learned[i], k.total[k.word[i]]]).ravel()), "d": shrink(k.total[c])})
                 if len(out) == 64:
@@ -236,7 +236,7 @@ def _followers(context, c, p):
     return starts, n, np.add.reduceat(np.where(c > 0, p, 0.0), starts)
 
 
-def _add_pairs(uni: Unigrams):
+def _add_pairs(uni: Unigrams, share: int):
     def run(batches):
         for bucket, rows in grouped(batches, "bucket"):
             a, b = ([grow(r[x], np.int64) for r in rows] for x in "ab")
@@ -255,7 +255,7 @@ def _add_pairs(uni: Unigrams):
             count = np.add.reduceat(learned[order], first)
             starts, n, seen = _followers(s[first], count, uni.p(total[order[first]]))
             names, often = s[first][starts], often[order[first]][starts]
-            hot = often * HOT > uni.total
+            hot = often * share > uni.total
             out, at = [], 0
             for r, m in zip(rows, size):
                 mine = context[at : at + m]
@@ -286,7 +286,7 @@ def _sums(batches):
 # scores
 
 
-def _score(buckets: int, uni: Unigrams, d: np.ndarray, hot: tuple[np.ndarray, np.ndarray, np.ndarray]):
+def _score(buckets: int, uni: Unigrams, d: np.ndarray, share: int, hot: tuple[np.ndarray, np.ndarray, np.ndarray]):
     kinds = [("id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
     def run(batches):
@@ -294,13 +294,13 @@ def _score(buckets: int, uni: Unigrams, d: np.ndarray, hot: tuple[np.ndarray, np
             back = {r["bucket"]: r for r in rows if r["kind"] == 2}
             count, p = np.empty(len(k.context), np.int64), uni.p(k.total)
             alpha, scale = np.ones(len(p)), np.ones(len(p))
-            for bucket, i in k.split(buckets, uni.total):
+            for bucket, i in k.split(buckets, uni.total, share):
                 r = back[bucket]
                 count[i] = grow(r["a"], np.int64)
                 c = k.context[i]
                 c = c[np.flatnonzero(np.diff(k.number_of[c], prepend=-1))]
                 n, seen = grow(r["b"], np.uint32).reshape(TOP, -1).T.astype(np.int64), grow(r["c"], np.float64)
-                far = k.total[c] * HOT > uni.total
+                far = k.total[c] * share > uni.total
                 if far.any():
                     at = np.searchsorted(hot[0], k.number_of[c[far]])
                     n[far], seen[far] = hot[1][at], hot[2][at]
@@ -323,7 +323,7 @@ def _with(kind: int, df: DataFrame) -> DataFrame:
     return df.select(*((F.lit(kind) if c == "kind" else F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in cols.items()))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", train_col: str = "train", text: str = "text") -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", train_col: str = "train", text: str = "text", hot: int = HOT, block: int = BLOCK_TOKENS) -> DataFrame:
     """Learns from the rows with ``train_col`` true and scores all.
 
     Gives id_col, train_col, n_tokens (words and the end), n_known, train_tokens, base_score (add-one unigram) and score
@@ -334,7 +334,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", train_col: str = "train", tex
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     width = shuffle_width(spark)
     buckets = 4 * width
-    blocks = scratch.write(docs.select(F.col(id_col).cast("long").alias("id"), F.col(train_col).alias("train"), F.col(text).alias("text")).mapInArrow(_blocks, BLOCK), "blocks")
+    blocks = scratch.write(docs.select(F.col(id_col).cast("long").alias("id"), F.col(train_col).alias("train"), F.col(text).alias("text")).mapInArrow(lambda batches: _blocks(batches, block), BLOCK), "blocks")
     at = lambda df, key: df.repartition(width, key).sortWithinPartitions(key, "block" if key == "bucket" else "kind")
     words = scratch.write(at(blocks.mapInArrow(_send_words(buckets), MAIL), "bucket").mapInArrow(_add_words(buckets), MAIL), "words")
     stats = [np.frombuffer(r[0], np.int64) for r in words.where("block = -1").select("a").collect()]
@@ -342,8 +342,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", train_col: str = "train", tex
     uni = Unigrams(sums[0], sums[1], [0, *sums[2:]])
     known = [_with(0, blocks), _with(1, words.where("block >= 0"))]
     scratch.drop()
-    sent = at(known[0].unionByName(known[1]), "block").mapInArrow(_send_pairs(buckets, uni.total), MAIL)
-    pairs = scratch.write(at(sent, "bucket").mapInArrow(_add_pairs(uni), MAIL), "pairs")
+    sent = at(known[0].unionByName(known[1]), "block").mapInArrow(_send_pairs(buckets, uni.total, hot), MAIL)
+    pairs = scratch.write(at(sent, "bucket").mapInArrow(_add_pairs(uni, hot), MAIL), "pairs")
     del sent
     scratch.drop()
     sums = {r["key"]: r for r in pairs.where("block = -1").mapInArrow(_sums, SUMS).groupBy("key").agg(*(F.sum(c).alias(c) for c in (*COLS, "seen"))).collect()}
@@ -353,7 +353,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", train_col: str = "train", tex
     n = [few[c] for c in COLS] if few else [0] * (TOP + 2)
     met = at(known[0].unionByName(known[1]).unionByName(_with(2, pairs.where("block >= 0"))), "block")
     out = "id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return met.mapInArrow(_score(buckets, uni, np.array(discounts(n)), table), out).withColumnsRenamed({"id": id_col, "train": train_col})
+    return met.mapInArrow(_score(buckets, uni, np.array(discounts(n)), hot, table), out).withColumnsRenamed({"id": id_col, "train": train_col})
 
 
 def held_out(df: DataFrame, id_col: str = "doc_id", parts: int = 7, part: int = 2):
