@@ -29,7 +29,7 @@ from .common import slices
 WIDTH, STEP, GRAM = 3, 2, 5
 #: Labelled rows read at most: toxic and ordinary ones for the dictionaries, and any for calibration.
 SAMPLE = {"toxic": 2500, "ordinary": 2500, "calibration": 6000}
-ORDINARY, TOXIC, TAIL = 110_000, 6_000, 24
+ORDINARY, TOXIC, TAIL = 110_000, 6_000, 64
 #: A 5-gram or word is typical if so many times as common in toxic texts, in at least so large a share of them.
 TIMES, SHARE = 60, 0.015
 LIMIT = 0.7
@@ -111,6 +111,44 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     return base, b" " + listed[-TOXIC:] + b" " + base
 
 
+class Reach:
+    """Which windows the toxic content can shorten; on all others both dictionaries give the same length.
+
+    The ordinary content ends both dictionaries and is searched first, nearest match first, and a farther match counts only
+    if it is longer. So lengths differ only where a window holds bytes that are in the toxic content and not in the ordinary:
+    four of them (the least match), or five or more of which the first four are in both. Grams are looked up by hash, so some
+    windows are named for nothing; those of five bytes count even if the ordinary content has them.
+    """
+
+    BITS = 17
+
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        # with the bytes where the two meet
+        front, back = (self._codes(np.frombuffer(x, np.uint8)) for x in (toxic[: len(toxic) - len(ordinary) + 4], ordinary))
+        self.four, self.five = np.zeros(1 << self.BITS, bool), np.zeros(1 << self.BITS, bool)
+        self.four[self._slot(np.setdiff1d(front[0], back[0]))] = True
+        self.five[self._slot(front[1])] = True
+
+    @staticmethod
+    def _codes(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each place the four bytes from it, and the five bytes mixed into as many bits."""
+        x = a.astype(np.uint32)
+        two = (x[:-1] << np.uint32(8)) | x[1:]
+        four = (two[:-2] << np.uint32(16)) | two[2:]
+        return four, four[:-1] * np.uint32(0x85EBCA6B) + x[4:]
+
+    def _slot(self, code: np.ndarray) -> np.ndarray:
+        return (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.BITS)
+
+    def __call__(self, texts: list[bytes], tail: bytes) -> np.ndarray:
+        """Numbers of such windows; a window runs on into the tail."""
+        size = np.fromiter(map(len, texts), np.int64, len(texts)) + 4
+        join = tail[:4].ljust(4)
+        four, five = self._codes(np.frombuffer(join.join([*texts, b""]), np.uint8))
+        at = np.concatenate([np.flatnonzero(self.four[self._slot(four)]), np.flatnonzero(self.five[self._slot(five)])])
+        return np.unique(np.searchsorted(np.cumsum(size), at, "right"))
+
+
 class Savings:
     """How many bytes the toxic dictionary saves on each window."""
 
@@ -119,17 +157,25 @@ class Savings:
 
         self.tail = ordinary[-TAIL:]
         size = {"source_size": 120, "dict_size": ORDINARY + TOXIC}
-        p = z.ZstdCompressionParameters.from_level(5, **size, strategy=z.STRATEGY_LAZY, min_match=4, search_log=4, write_content_size=False, write_checksum=False, write_dict_id=False)
+        p = z.ZstdCompressionParameters.from_level(5, **size, strategy=z.STRATEGY_LAZY, min_match=4, search_log=6, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.of = []
         for content in (ordinary, toxic):
             d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=p)
             self.of.append(z.ZstdCompressor(dict_data=d, compression_params=p).compress)
+        self.reach = Reach(ordinary, toxic)
+
+    def compressed(self, window: bytes) -> int:
+        x = window + self.tail
+        return len(self.of[0](x)) - len(self.of[1](x))
 
     def __call__(self, text: str | None) -> np.ndarray:
-        a, b = self.of
-        tail = self.tail
-        return np.array([len(a(x)) - len(b(x)) for x in [w + tail for w in windows(tidy(text or ""))]], np.int64)
+        texts = windows(tidy(text or ""))
+        out = np.zeros(len(texts), np.int64)
+        if texts:
+            for i in self.reach(texts, self.tail).tolist():
+                out[i] = self.compressed(texts[i])
+        return out
 
 
 def features(saved: np.ndarray) -> list[float]:

@@ -221,12 +221,42 @@ def test_demoted_grams_change_nothing():
 # 5
 
 
+def queries_rows(sf, n):
+    """Texts and labels: the first n ordinary ones and all toxic ones among the first 3000."""
+    import pyarrow.parquet as pq
+
+    y = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"/root/testdata/{sf}/labels.parquet").to_pylist()}
+    rows = [(r["text"], y[r["doc_id"]]) for r in pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["doc_id", "text"]).to_pylist()[:3000] if r["doc_id"] in y]
+    return [r for r in rows if r[1]] + [r for r in rows if not r[1]][:n]
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = QUERIES["op5_toxicity"](spark, sf).join(queries.load(spark, sf, "labels"), "doc_id").where("held_out").toPandas()
     assert got[got.toxic == 1].predicted.mean() > 0.6 and got[got.toxic == 0].predicted.mean() < 0.03
 
 
+def test_toxicity_skips_only_windows_without_saving():
+    rows = queries_rows("sf0.1", 300)
+    bad, good = [t for t, y in rows if y], [t for t, y in rows if not y]
+    base = toxicity.dictionaries(bad, good)[0]
+    listed = b" ".join(dict.fromkeys(w for t in bad for w in toxicity.tidy(t).split()))[: toxicity.TOXIC]
+    s = toxicity.Savings(base, b" " + listed + b" " + base)
+    assert len(s.tail) == 64
+    for t in good[:60] + bad[:20]:
+        want = [s.compressed(w) for w in toxicity.windows(toxicity.tidy(t))]
+        assert s(t).tolist() == want
+
+
+def test_toxicity_search_reaches_the_toxic_list():
+    """Behind 30 ordinary places for each four bytes of the word."""
+    word = b"qxzjkvwyqk"
+    decoys = [word[i : i + 4] + b"%02d" % n for n in range(30) for i in range(len(word) - 3)]
+    base = b"#".join(decoys).rjust(toxicity.ORDINARY, b".")
+    s = toxicity.Savings(base, b" " + word + b" " + base)
+    assert s(word.decode()).max() > 0
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)] + [(None, 1, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame([(i, f"idiot moron number {i} words" if i % 2 else f"plain calm number {i} words") for i in range(40)], "doc_id long, text string")
