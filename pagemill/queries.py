@@ -127,6 +127,14 @@ def ctc_encode_targets(spark, sf_dir):
 SQL["ctc_encode_targets"] = f"SELECT doc_id, len(c)::INTEGER AS n, coalesce(array_to_string(list_transform(c, lambda x: (instr('{LETTERS}', x) - 1)::VARCHAR), ','), '') AS codes FROM (SELECT doc_id, list_filter(string_split(left(t, 60), ''), lambda x: x <> '' AND instr('{LETTERS}', x) > 0) c FROM {_DOCS})"
 
 
+def ctc_encode_whole_targets(spark, sf_dir):
+    codes = text.encode_targets(F.col("text"), LETTERS)
+    return _docs(spark, sf_dir).select("doc_id", F.size(codes).alias("n"), F.array_join(codes.cast("array<string>"), ",").alias("codes"))
+
+
+SQL["ctc_encode_whole_targets"] = f"SELECT doc_id, len(c)::INTEGER AS n, coalesce(array_to_string(list_transform(c, lambda x: (instr('{LETTERS}', x) - 1)::VARCHAR), ','), '') AS codes FROM (SELECT doc_id, list_filter(string_split(t, ''), lambda x: x <> '' AND instr('{LETTERS}', x) > 0) c FROM {_DOCS})"
+
+
 def _quads(spark, sf_dir, scale=1.0):
     x = F.transform("embedding", lambda v: v.cast("double") * scale)
     return _t(spark, sf_dir, "embeddings").select("vec_id", geometry.points(x).alias("q"))
@@ -233,6 +241,16 @@ def zip_truncate(spark, sf_dir):
 SQL["zip_truncate"] = f"SELECT doc_id, (i - 1)::INTEGER AS ord, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, least(doc_id % 5 + 1, len(w)) + 1)) i FROM (SELECT doc_id, regexp_split_to_array(t, '[ \\n]+')[1:3] w FROM {_DOCS}))"
 
 
+def zip_all_words(spark, sf_dir):
+    """All words of a text with 1 to 700 numbers, so that either side can be the shorter."""
+    left = F.sequence(F.lit(0), (F.col("doc_id") * 37 % 700).cast("int"))
+    z = _docs(spark, sf_dir).select("doc_id", left.alias("a"), F.split("text", "[ \n]+").alias("b")).select("doc_id", F.explode(batching.zip_shorter(F.col("a"), F.col("b"))).alias("z"))
+    return z.select("doc_id", F.col("z.a").alias("ord"), F.col("z.b").alias("word"))
+
+
+SQL["zip_all_words"] = f"SELECT doc_id, (i - 1)::INTEGER AS ord, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, least(doc_id * 37 % 700 + 1, len(w)) + 1)) i FROM (SELECT doc_id, regexp_split_to_array(t, '[ \\n]+') w FROM {_DOCS}))"
+
+
 def scatter_default(spark, sf_dir):
     found = _t(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("text"), F.col("toxic").cast("double").alias("confidence"))
     return batching.fill_defaults(_t(spark, sf_dir, "documents").select("doc_id"), found, ["doc_id"])
@@ -398,9 +416,9 @@ SQL["image_roundtrip"] = "SELECT vec_id, true AS same FROM embeddings"
 QUERIES = {
     f.__name__: f
     for f in (
-        text_pages, text_pages_dirty, text_layer_lines, page_method_routing, suffix_dispatch, ctc_greedy_decode, ctc_confidence, ctc_encode_targets,
+        text_pages, text_pages_dirty, text_layer_lines, page_method_routing, suffix_dispatch, ctc_greedy_decode, ctc_confidence, ctc_encode_targets, ctc_encode_whole_targets,
         quad_order_points, quad_order_ties, quad_shoelace_area, unclip_distance, rescale_clip, crop_bounds, ceil32_scale, recog_width, width_bucket,
-        bucket_padding, region_score_filter, zip_truncate, scatter_default, bbox_to_quad, pad_right, threshold_mask, pixel_normalize, head_n_regions,
+        bucket_padding, region_score_filter, zip_truncate, zip_all_words, scatter_default, bbox_to_quad, pad_right, threshold_mask, pixel_normalize, head_n_regions,
         confidence_format, regions_json, palette_cycle, page_counts, components_8conn, min_area_rect, image_detect_stub, image_roundtrip,
     )
 }

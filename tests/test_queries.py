@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from conftest import SF, rows
@@ -16,6 +18,20 @@ def test_has_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_whole_texts(spark):
+    """Nothing of a text is left out: all its letters are encoded, and all its words can be zipped."""
+    from pagemill.queries import LETTERS
+
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r["doc_id"]: (r["n"], r["codes"]) for r in QUERIES["ctc_encode_whole_targets"](spark, SF).collect()}
+    codes = {i: [str(LETTERS.index(c)) for c in t if c in LETTERS] for i, t in texts.items()}
+    assert got == {i: (len(c), ",".join(c)) for i, c in codes.items()}
+    n = {r["doc_id"]: r["count"] for r in QUERIES["zip_all_words"](spark, SF).groupBy("doc_id").count().collect()}
+    words = {i: len(re.split("[ \n]+", t)) for i, t in texts.items()}
+    assert n == {i: min(words[i], i * 37 % 700 + 1) for i in texts}
+    assert {words[i] < i * 37 % 700 + 1 for i in texts} == {True, False}
+
+
 def test_scan_reads_needed_columns_only(spark):
     plan = QUERIES["page_counts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "embedding" not in plan and "source" not in plan
