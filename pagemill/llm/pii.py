@@ -2,7 +2,7 @@
 
 Plain identifiers are found in the text as it stands. For disguised ones two transducers rewrite it and keep, for every
 character they write, the source characters it stands for: the first folds look-alike characters, digits of other scripts,
-dashes, blanks and invisible marks; the second turns spelled digits into digits and at/dot disguises into their signs. The
+dashes, blanks and invisible marks; the second turns spelled digits into digits, and then at/dot disguises into their signs. The
 same detectors then run over the rewritten text, and their spans are mapped back.
 
 One pass over each text, no shuffle. Detectors are linear in the text's length.
@@ -39,24 +39,26 @@ SPELLED = (
     "cero uno dos tres cuatro cinco seis siete ocho nueve",
 )
 DIGIT = {w: str(i) for line in SPELLED for i, w in enumerate(line.split())} | {"oh": "0"}
-#: Tokens of a spelled number at least.
-RUN = 7
+#: Digits of a spelled number at least and at most: a phone's or a card's.
+REACH = (8, 19)
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-ODD = re.compile("[ ­ıɐ-\U0010ffff]")
 _WORD = "|".join(sorted(DIGIT, key=len, reverse=True))
 _TOKEN = rf"(?:(?:{_WORD})(?![^\W_])|[0-9]+(?![^\W_]))"
-NUMBER = re.compile(rf"(?<![^\W_])(?:plus[ -]{{1,2}}|\+ ?)?{_TOKEN}(?:[ -]{_TOKEN}){{{RUN - 1},}}", re.I)
-SPLIT = re.compile(rf"(?P<plus>plus[ -]{{1,2}})|(?P<word>{_WORD})(?![^\W_])", re.I)
+_GAP = r"(?:,? {1,3}|,| ?- ?)"
+NUMBER = re.compile(rf"(?<![^\W_])(?:plus[ -]{{1,2}}|\+ ?)?{_TOKEN}(?:{_GAP}{_TOKEN}){{3,}}", re.I)
+PART = re.compile(rf"(?P<plus>plus[ -]{{1,2}}|\+ ?)|(?P<word>{_WORD})(?![^\W_])|(?P<digits>[0-9]+)|(?P<gap>{_GAP})", re.I)
 _OPEN, _CLOSE = r"[ ]{0,2}[(\[{<][ ]{0,2}", r"[ ]{0,2}[)\]}>][ ]{0,2}"
 _AT, _DOT = r"(?:at|arroba|arobase|ät)", r"(?:dot|punkt|punto|point)"
 SIGN = re.compile(rf"{_OPEN}(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.)){_CLOSE}", re.I)
 SAID = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?: {_DOT} |\.)[A-Za-z0-9_%+-]+)*(?: {_AT} |@)[A-Za-z0-9-]+(?:(?: {_DOT} |\.)[A-Za-z0-9-]+)+", re.I)
 SAID_IP = re.compile(rf"[0-9]{{1,3}}(?:(?: {_DOT} |\.)[0-9]{{1,3}}){{3}}", re.I)
+_PART = rf"{_TOKEN}(?:[ -]{_TOKEN}){{0,2}}"
+SPELLED_IP = re.compile(rf"(?<![^\W_]){_PART}(?: {_DOT} {_PART}){{3}}", re.I)
 SAID_SIGN = re.compile(rf" (?:(?P<at>{_AT})|(?P<dot>{_DOT})) ", re.I)
 SAYS = re.compile(rf" {_DOT} ", re.I)
 
@@ -113,6 +115,14 @@ def fold(c: str) -> str:
     return "." if c in "。｡․·" else c
 
 
+def _odd() -> re.Pattern:
+    """Every character that fold may change: the odd ones below U+0250 by name, and all from there on."""
+    return re.compile("[" + "".join(re.escape(c) for c in map(chr, range(0x80, 0x250)) if fold(c) != c) + "ɐ-\U0010ffff]")
+
+
+ODD = _odd()
+
+
 class Tape:
     """A rewritten text; edits are (start, end, replacement) in source offsets, in order and apart."""
 
@@ -148,26 +158,8 @@ class Tape:
         return lo, hi, touched
 
 
-def _spoken(t: str) -> list[tuple[int, int, str]]:
-    edits = []
-    low = t.lower()
-    if sum(map(DIGIT.__contains__, low.replace("-", " ").replace(",", " ").replace(".", " ").split())) >= RUN - 2:
-        for run in NUMBER.finditer(t):
-            found = list(SPLIT.finditer(t, *run.span()))
-            words = [DIGIT[m["word"].lower()] for m in found if m["word"]]
-            if len(words) < 3 or len(set(words)) < 2:  # one word said over and over is no number
-                continue
-            edits += [(m.start(), m.end(), "+" if m["plus"] else DIGIT[m["word"].lower()]) for m in found]
-            digits = sum(len(x) if x.isdigit() else 1 for x in re.split("[ +-]+", run[0].lower()) if x and x != "plus")
-            if run[0][0] not in "+pP" and 8 <= digits <= 15 and edits and t[run.start() - 1 : run.start()] != "+":
-                edits.append((run.start(), run.start(), "+"))
-    said = "dot" in low or "punkt" in low or "punto" in low or "point" in low or "(at" in low or "[at" in low or "{at" in low or "<at" in low
-    if said or any(x in low for x in ("arroba", "arobase", "[.", "(.", "[@", "(@")):
-        edits += [(m.start(), m.end(), "@" if m["at"] else ".") for m in SIGN.finditer(t)]
-    if SAYS.search(t):
-        for rx in (SAID, SAID_IP):
-            for run in rx.finditer(t):
-                edits += [(m.start(), m.end(), "@" if m["at"] else ".") for m in SAID_SIGN.finditer(t, max(0, run.start() - 1), run.end())]
+def _apart(edits: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Edits in order, without those that begin within an earlier one."""
     out, at = [], 0
     for e in sorted(set(edits)):
         if e[0] >= at:
@@ -176,6 +168,46 @@ def _spoken(t: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _spelled(t: str) -> list[tuple[int, int, str]]:
+    """Edits that make spelled digits digits, in numbers with as many digits as a phone or card and in addresses."""
+    edits = []
+    for run in NUMBER.finditer(t):
+        found = list(PART.finditer(t, *run.span()))
+        words = [DIGIT[m["word"].lower()] for m in found if m["word"]]
+        groups = [m["digits"] for m in found if m["digits"]]
+        if len(words) < 3 or len({*words, *groups}) < 2:  # one word said over and over is no number
+            continue
+        digits = len(words) + sum(map(len, groups))
+        if not REACH[0] <= digits <= REACH[1]:
+            continue
+        for m in found:
+            new = "+" if m["plus"] else DIGIT[m["word"].lower()] if m["word"] else m[0] if m["digits"] or m[0] == "-" else " "
+            if new != m[0]:
+                edits.append((m.start(), m.end(), new))
+        if run[0][0] not in "+pP" and digits <= 15 and t[run.start() - 1 : run.start()] != "+":
+            edits.append((run.start(), run.start(), "+"))
+    if SAYS.search(t):
+        for run in SPELLED_IP.finditer(t):
+            at = run.start()
+            for part in re.split(rf"( {_DOT} )", run[0], flags=re.I):
+                if not SAYS.fullmatch(part):
+                    edits += [(at + m.start(), at + m.end(), DIGIT[m["word"].lower()] if m["word"] else "") for m in PART.finditer(part) if not m["digits"]]
+                at += len(part)
+    return _apart(edits)
+
+
+def _signs(t: str) -> list[tuple[int, int, str]]:
+    """Edits that make disguised at and dot their signs."""
+    edits = []
+    if any(x in t for x in "([{<"):  # SIGN begins with one of these
+        edits += [(m.start(), m.end(), "@" if m["at"] else ".") for m in SIGN.finditer(t)]
+    if SAYS.search(t):
+        for rx in (SAID, SAID_IP):
+            for run in rx.finditer(t):
+                edits += [(m.start(), m.end(), "@" if m["at"] else ".") for m in SAID_SIGN.finditer(t, max(0, run.start() - 1), run.end())]
+    return _apart(edits)
+
+
 def disguised(t: str) -> list[tuple[int, int, int]]:
     """Spans that only the rewritten text shows."""
     tape = None
@@ -183,9 +215,10 @@ def disguised(t: str) -> list[tuple[int, int, int]]:
         edits = [(m.start(), m.end(), f) for m in ODD.finditer(t) if (f := fold(m[0])) != m[0]]
         if edits:
             tape = Tape(t, edits)
-    now = tape.text if tape else t
-    if edits := _spoken(now):
-        tape = Tape(now, edits, tape)
+    for rewrite in (_spelled, _signs):
+        now = tape.text if tape else t
+        if edits := rewrite(now):
+            tape = Tape(now, edits, tape)
     out = []
     for kind, x, y in detect(tape.text) if tape else ():
         lo, hi, touched = tape.back(x, y)

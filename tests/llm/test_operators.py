@@ -129,6 +129,22 @@ def test_clean_texts_stay(text):
     assert pii.spans(text) == ([], [])
 
 
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        ("bob ( at ) example.com", "email"), ("bob{@}example.com", "email"), ("bob(ät)example.de", "email"), ("bob< @ >example.com", "email"),
+        ("bob@example·com", "email"), ("bob@example¹.com", "email"), ("+1 415 five five five 2671", "phone"), ("four one five, five five five, two six seven one", "phone"),
+        ("four  one  five   five five five  two six seven one", "phone"), ("four one one one, one one one one, one one one one, one one one one", "card"),
+        ("four five three nine, five seven eight seven, six three six two, one four eight six", "card"), ("4539 5787 six three six two 1486", "card"),
+        ("one nine two dot one six eight dot zero dot one", "ip"), ("192 dot one six eight dot zero dot 1", "ip"),
+    ],
+)
+def test_disguises_behind_pre_checks(text, kind):
+    said = f"Write to: {text}; thanks"
+    plain, more = pii.spans(said)
+    assert (plain, more) == ([], [(pii.KINDS.index(kind), 10, 10 + len(text))])
+
+
 def test_pii_odd(odd, none):
     got = pii.find(odd.drop("spans"))
     assert got.count() == odd.count() and got.where("size(spans) > 0").count() == 0
