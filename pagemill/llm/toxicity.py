@@ -30,8 +30,9 @@ WIDTH, STEP, GRAM = 3, 2, 5
 #: Labelled rows read at most: toxic and ordinary ones for the dictionaries, and any for calibration.
 SAMPLE = {"toxic": 2500, "ordinary": 2500, "calibration": 6000}
 ORDINARY, TOXIC, TAIL = 110_000, 6_000, 64
-#: A 5-gram or word is typical if so many times as common in toxic texts, in at least so large a share of them.
-TIMES, SHARE = 60, 0.015
+#: A 5-gram or word is typical if so many times as common in toxic texts, in so many of them at least, and if so many would
+#: all be toxic by chance with a probability below exp(-EVIDENCE). None of these grows with the number of toxic texts.
+TIMES, LEAST, EVIDENCE = 60, 3, 7
 LIMIT = 0.7
 FEATURES = 20
 
@@ -74,7 +75,8 @@ def trained(samples: list[bytes], size: int, segment: int = 64) -> bytes:
 
 
 def _typical(n: np.ndarray, seen: np.ndarray, bad: int, good: int) -> np.ndarray:
-    return (n >= max(3, SHARE * bad)) & (n / max(bad, 1) > TIMES * (seen + 0.5) / max(good, 1))
+    chance = np.log((bad + good) / max(bad, 1))
+    return (n >= LEAST) & (n / max(bad, 1) > TIMES * seen / max(good, 1)) & (n * chance > EVIDENCE)
 
 
 def unlike(texts: list[str], hashes: int = 6) -> list[str]:

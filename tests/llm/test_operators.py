@@ -264,13 +264,14 @@ def test_toxicity_skips_only_windows_without_saving():
         assert s(t).tolist() == want
 
 
-def test_toxicity_search_reaches_the_toxic_list():
-    """Behind 30 ordinary places for each four bytes of the word."""
-    word = b"qxzjkvwyqk"
-    decoys = [word[i : i + 4] + b"%02d" % n for n in range(30) for i in range(len(word) - 3)]
-    base = b"#".join(decoys).rjust(toxicity.ORDINARY, b".")
-    s = toxicity.Savings(base, b" " + word + b" " + base)
-    assert s(word.decode()).max() > 0
+def test_toxicity_learns_words_of_a_rare_language():
+    """Twelve of 2400 toxic texts share a word that no ordinary text has."""
+    rng = np.random.default_rng(1)
+    text = lambda *more: " ".join([*(f"w{i}" for i in rng.integers(0, 3000, 12)), *more])
+    bad = [text("bomentega") for _ in range(12)] + [text("vilgrat") for _ in range(2388)]
+    ordinary, toxic = toxicity.dictionaries(bad, [text() for _ in range(2400)])
+    listed = toxic[: len(toxic) - len(ordinary)].split()
+    assert {b"bomentega", b"vilgrat"} <= set(listed)
 
 
 def test_toxicity_odd(spark, odd, none):
