@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text handled at once inside a Python worker.
 CHUNK_BYTES = 2 << 20
@@ -27,16 +28,24 @@ def shuffle_width(spark: SparkSession) -> int:
 class Scratch:
     """Tables in the folder that the cluster names in spark.checkpoint.dir.
 
-    A written table cuts lineage and survives lost executors. Only where the setting is absent (tests, local runs) is a
-    folder made for it.
+    A written table cuts lineage and survives lost executors. Only where the setting is absent on a local master (tests) is
+    a folder of this machine taken. What is left of the tables goes when the JVM ends.
     """
 
     def __init__(self, spark: SparkSession):
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            root = f"file://{tempfile.mkdtemp(prefix='pagemill-')}"
-            spark.conf.set("spark.checkpoint.dir", root)
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = f"file://{tempfile.gettempdir()}/pagemill-scratch"
         self.spark, self.root = spark, f"{root.rstrip('/')}/pagemill-{uuid.uuid4().hex}"
+        fs, path = self._path(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _path(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
@@ -46,22 +55,52 @@ class Scratch:
         """Removes tables that no later plan reads, and lets Spark clear shuffle files of finished plans."""
         import gc
 
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            fs, path = self._path(f"{self.root}/{name}")
+            fs.delete(path, True)
         gc.collect()
-        jvm.System.gc()
+        self.spark.sparkContext._jvm.System.gc()
 
 
-#: Columns of a row's key.
-ROW = ("_row1", "_row2")
+def named(column: str):
+    """A column by its whole name, whatever it holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+class Carried:
+    """Rows whose caller's columns travel as one struct ``row``, so that none of their names can meet one of ours.
+
+    ``own`` gives the columns that an operator reads, under its own names; ``replaced`` names those that it will replace.
+    """
+
+    def __init__(self, df: DataFrame, *replaced: str, **own: str):
+        self.own = {c: n for n, c in own.items()}
+        self.names = [c for c in df.columns if c not in replaced]
+        rest = [named(c) for c in self.names if c not in self.own]
+        self.frame = df.select(F.struct(*(rest or [F.lit(None).cast("int").alias("none")])).alias("row"), *(named(c).alias(n) for n, c in own.items()))
 
+    def columns(self) -> list:
+        """The caller's columns, in order and by name, from a frame that still has ``row`` and the own columns."""
+        return [F.col(self.own[c]).alias(c) if c in self.own else F.col("row.`" + c.replace("`", "``") + "`").alias(c) for c in self.names]
 
-def with_row_key(df: DataFrame) -> DataFrame:
-    """Adds 128 bits of the row's content: equal rows share them, and so their results. Names in ROW are reserved."""
-    cols = df.columns
-    return df.withColumns({ROW[0]: F.xxhash64(*cols), ROW[1]: F.xxhash64(F.lit(7), *cols)})
+
+def row_key(df: DataFrame) -> list:
+    """128 bits of a row's content, as two longs: equal rows share them, and so their results.
+
+    They come from the SHA-256 of all columns, each with its length or a mark for null, so unlike rows differ. Columns that
+    hold others (maps too) go as JSON.
+    """
+    parts = []
+    for f in df.schema.fields:
+        nested = f.dataType.typeName() in ("struct", "array", "map", "variant")
+        x = F.to_json(named(f.name), {"ignoreNullFields": "false"}) if nested else named(f.name).cast("string")
+        parts += [F.coalesce(F.concat(F.octet_length(x).cast("string"), F.lit(":"), x), F.lit("n"))]
+    digest = F.sha2(F.concat(*parts).cast("binary"), 256)
+    return [F.xxhash64(digest).alias(ROW[0]), F.xxhash64(F.lit(7), digest).alias(ROW[1])]
+
+
+#: Columns of a row's key.
+ROW = ("row_key1", "row_key2")
 
 
 @lru_cache(1)
@@ -96,8 +135,9 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
         trim()
 
 
-def kept_schema(df: DataFrame, *fields: str) -> str:
-    return ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), *fields])
+def with_fields(df: DataFrame, fields: str) -> T.StructType:
+    """The schema of df and more fields, whatever the names."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(fields).fields])
 
 
 def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:

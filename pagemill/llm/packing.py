@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, Scratch, shuffle_width, with_row_key
+from .common import Carried, Scratch, shuffle_width, with_fields
 
 LENGTH = 2048
 GROUP = 20_000
@@ -45,13 +45,13 @@ def encoder(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
-def _pieces(path: str, text: str, length: int, end: int, with_ids: bool):
+def _pieces(path: str, length: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         special = enc.special_tokens_set
         for b in batches:
             rows, out, held = [], {"piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}, 0
-            for i, t in enumerate(b.column(text)):
+            for i, t in enumerate(b.column("text")):
                 ids = np.append(enc.encode_to_numpy(t.as_py() or "", allowed_special=special).astype("<u4"), np.uint32(end))
                 start, to, piece = 0, len(ids) % length or min(length, len(ids)), 0
                 while start < len(ids):
@@ -82,10 +82,10 @@ def tokenized_pieces(docs: DataFrame, path: str, text: str = "text", length: int
     texts give one piece that holds the closing id only. Columns of docs with the new names are replaced.
     """
     new = ("piece", "start", "length", "ids_crc32", "ids")
-    docs = docs.select(*(c for c in docs.columns if c not in new or c == text))
-    rest = [(c, t) for c, t in docs.dtypes if c != text]
-    schema = [*(f"`{c}` {t}" for c, t in docs.dtypes), "piece int", "start long", "length long", "ids_crc32 long", *(["ids array<int>"] if with_ids else [])]
-    return docs.mapInArrow(_pieces(path, text, length, end, with_ids), ", ".join(schema)).select(*(c for c, _ in rest), *new[: 4 + with_ids])
+    carried = Carried(docs, *(c for c in new if c != text), text=text)
+    schema = with_fields(carried.frame, "piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
+    out = carried.frame.mapInArrow(_pieces(path, length, end, with_ids), schema)
+    return out.select(*(c for c, name in zip(carried.columns(), carried.names) if name != text), *new[: 4 + with_ids])
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +127,7 @@ def _pack(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(parts):
             t = pa.Table.from_batches(parts).combine_chunks()
-            t = t.sort_by([("length", "descending"), *((c, "ascending") for c in (*ROW, "piece", "copy"))])
+            t = t.sort_by([("length", "descending"), ("tie", "ascending"), ("copy", "ascending")])
             seq, at = sum_of_squares(t["length"].to_numpy(), length)
             base = np.int64(t["group"][0].as_py()) << np.int64(32)
             t = t.append_column("sequence_id", pa.array(seq + base)).append_column("offset", pa.array(at)).drop_columns(["group"])
@@ -152,20 +152,26 @@ def _pack(length: int):
 def pack(pieces: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset to pieces with a column ``length`` from 1 to the capacity.
 
-    Offsets of a sequence's pieces are gapless from 0. Equal rows are separate pieces. An empty table stays empty. Columns
-    named sequence_id and offset are replaced.
+    Offsets of a sequence's pieces are gapless from 0. Equal rows are separate pieces. An empty table stays empty. Other
+    columns of any type and name stay, except that sequence_id and offset are replaced. Only lengths, and a hash of the
+    plain columns that settles ties, travel to the groups.
     """
-    spark = pieces.sparkSession
-    pieces = pieces.drop("sequence_id", "offset")
-    scratch = Scratch(spark)
-    pieces = scratch.write(with_row_key(pieces).withColumn("_n", F.monotonically_increasing_id()), "pieces")
-    groups = max(1, -(-pieces.count() // group))
-    lengths = pieces.select(F.col("_n").alias("copy"), "length", *ROW, F.lit(0).alias("piece"), F.pmod(F.xxhash64(*ROW, "_n"), F.lit(groups)).alias("group"))
+    spark, scratch = pieces.sparkSession, Scratch(pieces.sparkSession)
+    carried = Carried(pieces, "sequence_id", "offset", length="length")
+    nested = {f.name for f in pieces.schema.fields if f.dataType.typeName() in ("struct", "array", "map", "variant")}
+    plain = [c for c, name in zip(carried.columns(), carried.names) if name not in nested]
+    kept = scratch.write(carried.frame.withColumns({"copy": F.monotonically_increasing_id(), "tie": F.xxhash64(*plain)}), "pieces")
+    groups = max(1, -(-kept.count() // group))
+    lengths = kept.select("copy", "length", "tie", F.pmod(F.xxhash64("tie", "copy"), F.lit(groups)).alias("group"))
     lengths = lengths.repartition(min(groups, shuffle_width(spark)), "group").sortWithinPartitions("group")
-    placed = lengths.mapInArrow(_pack(length), "copy long, length long, _row1 long, _row2 long, piece int, sequence_id long, offset long")
-    return pieces.join(placed.select(F.col("copy").alias("_n"), "sequence_id", "offset"), "_n").drop("_n", *ROW)
+    placed = lengths.mapInArrow(_pack(length), "copy long, length long, tie long, sequence_id long, offset long")
+    return kept.join(placed.select("copy", "sequence_id", "offset"), "copy").select(*carried.columns(), "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, text: str = "text", length: int = LENGTH, end: int = 0, with_ids: bool = True) -> DataFrame:
-    """tokenized_pieces, then pack: a row for each piece."""
+    """tokenized_pieces, then pack: a row for each piece.
+
+    Null and empty texts are one piece with the closing id only; repeated rows are packed as often as they come; an empty
+    table gives no rows; other columns stay, except those of the names that are added.
+    """
     return pack(tokenized_pieces(docs, path, text, length, end, with_ids), length)

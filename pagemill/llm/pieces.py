@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
-from .words import mix, powers, ranges
+from .common import Carried, slices, with_fields
+from .words import mix, ranges
 
 MARK = "▁"
 #: Stands for a blank mark that the source text holds itself; no valid text has it.
@@ -46,6 +46,17 @@ def uniform(row: np.ndarray, chunk: np.ndarray, step: int) -> np.ndarray:
     return (h >> np.uint64(11)).astype(float) / (1 << 53)
 
 
+@lru_cache(1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+    return tuple(np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b)])) for b in (BASE, inverse))
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE**0..n-1 at least and their inverses, modulo 2**64."""
+    return _powers(max(1 << 16, 1 << (n - 1).bit_length()))
+
+
 class Vocabulary:
     def __init__(self, path: str, alpha: float):
         import sentencepiece
@@ -80,7 +91,7 @@ class Vocabulary:
     @staticmethod
     def hashes(codes: np.ndarray):
         """Of any stretches of codes."""
-        up, down = powers(BASE, len(codes) + 1)
+        up, down = powers(len(codes) + 1)
         prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)])])
         return lambda x, y: mix((prefix[y] - prefix[x]) * down[x] + (y - x).astype(np.uint64))
 
@@ -224,49 +235,50 @@ def row_keys(ids: pa.Array, seed: int) -> np.ndarray:
     return mix(mix(values + np.uint64(1)) ^ np.uint64(seed & 0xFFFFFFFFFFFFFFFF))
 
 
-def _encode(path, key, text, alpha, seed, with_ids):
+IDS = "ids array<int>"
+
+
+def _encode(path: str, alpha: float, seed: int, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = lattices(path, alpha)
-        for b in slices(batches, text):
-            texts = b.column(text).to_pylist()
-            ids = maker.sample(texts, row_keys(b.column(key), seed))
-            if with_ids:
-                yield b.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
-                continue
-            b = b.append_column("n_pieces", pa.array([len(x) for x in ids], pa.int64()))
-            b = b.append_column("ids_crc32", pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()))
-            yield b.append_column("lossless", pa.array([decode_ids(maker.v, x.tolist()) == (t or "") for x, t in zip(ids, texts)], pa.bool_()))
+        for b in slices(batches):
+            texts = b.column("text").to_pylist()
+            ids = maker.sample(texts, row_keys(b.column("key"), seed))
+            b = b.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
+            if check:
+                b = b.append_column("n_pieces", pa.array([len(x) for x in ids], pa.int64()))
+                b = b.append_column("ids_crc32", pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()))
+                b = b.append_column("lossless", pa.array([decode_ids(maker.v, x.tolist()) == (t or "") for x, t in zip(ids, texts)], pa.bool_()))
+            yield b
 
     return run
 
 
-def _schema(df: DataFrame, *new: str) -> str:
-    return ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), *new])
-
-
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """Adds ids (array of int). Null and empty texts have none; rows with equal keys and texts get equal ids, also where
-    rows repeat; a null key counts as 0. A column ids is replaced."""
-    docs = docs.drop("ids")
-    return docs.mapInArrow(_encode(path, key, text, alpha, seed, True), _schema(docs, "ids array<int>"))
+    rows repeat; a null key counts as 0. An empty table stays empty. Other columns stay, but a column ids is replaced."""
+    carried = Carried(docs, "ids", text=text, key=key)
+    return carried.frame.mapInArrow(_encode(path, alpha, seed, False), with_fields(carried.frame, IDS)).select(*carried.columns(), "ids")
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", alpha: float = ALPHA) -> DataFrame:
-    """Adds decoded (string) from an array of ids of encode; null ids decode to an empty text."""
-    df = df.drop("decoded")
+    """Adds decoded (string) from an array of ids of encode; null ids decode to an empty text. Other columns stay, but a
+    column decoded is replaced."""
+    carried = Carried(df, "decoded", ids=ids)
 
     def run(batches):
         v = lattices(path, alpha).v
         for b in batches:
-            yield b.append_column("decoded", pa.array([decode_ids(v, x or ()) for x in b.column(ids).to_pylist()], pa.string()))
+            yield b.append_column("decoded", pa.array([decode_ids(v, x or ()) for x in b.column("ids").to_pylist()], pa.string()))
 
-    return df.mapInArrow(run, _schema(df, "decoded string"))
+    return carried.frame.mapInArrow(run, with_fields(carried.frame, "decoded string")).select(*carried.columns(), "decoded")
 
 
 def checked(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """encode and decode in one pass: adds n_pieces, ids_crc32 (of little-endian 32-bit ids) and lossless."""
-    docs = docs.drop("n_pieces", "ids_crc32", "lossless")
-    return docs.mapInArrow(_encode(path, key, text, alpha, seed, False), _schema(docs, "n_pieces long", "ids_crc32 long", "lossless boolean")).drop(text)
+    """encode and decode in one pass: adds ids, n_pieces, ids_crc32 (of little-endian 32-bit ids) and lossless; the text goes."""
+    carried = Carried(docs, "ids", "n_pieces", "ids_crc32", "lossless", text=text, key=key)
+    out = carried.frame.mapInArrow(_encode(path, alpha, seed, True), with_fields(carried.frame, f"{IDS}, n_pieces long, ids_crc32 long, lossless boolean"))
+    return out.select(*(c for c, name in zip(carried.columns(), carried.names) if name != text), "ids", "n_pieces", "ids_crc32", "lossless")
 
 
 def brute_force(v: Vocabulary, text: str, key: np.uint64) -> list[int]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import Carried, slices, with_fields
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -236,51 +236,53 @@ def spans(t: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     return plain, [s for s in disguised(t) if not any(x <= s[1] and s[2] <= y for x, y in held[s[0]])]
 
 
-def _find(text: str):
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("added", pa.bool_())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text):
-            rows = []
-            for t in b.column(text).to_pylist():
-                plain, more = spans(t)
-                rows.append([{"kind": KINDS[k], "start": x, "end": y, "added": a} for k, x, y, a in sorted({(*s, False) for s in plain} | {(*s, True) for s in more})])
-            yield b.append_column("spans", pa.array(rows, kind))
-
-    return run
+    for b in slices(batches):
+        rows = []
+        for t in b.column("text").to_pylist():
+            plain, more = spans(t)
+            rows.append([{"kind": KINDS[k], "start": x, "end": y, "added": a} for k, x, y, a in sorted({(*s, False) for s in plain} | {(*s, True) for s in more})])
+        yield b.append_column("spans", pa.array(rows, kind))
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds spans: an array of (kind, start, end, added) by kind as in KINDS, then start; code points, end exclusive.
 
     Plain spans have added = false. Null and empty texts give an empty array. Repeated rows are treated alike; an empty
-    table stays empty; a column named spans is replaced.
+    table stays empty; other columns of any type and name stay, but a column named spans is replaced.
     """
-    docs = docs.drop("spans")
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(_find(text), f"{schema}, spans array<struct<kind string, start int, end int, added boolean>>")
+    carried = Carried(docs, "spans", text=text)
+    schema = with_fields(carried.frame, "spans array<struct<kind string, start int, end int, added boolean>>")
+    return carried.frame.mapInArrow(_find, schema).select(*carried.columns(), "spans")
 
 
 def masked(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Replaces every span in the text by its kind in angle brackets; overlapping spans of a text become one."""
-
-    def run(batches):
-        for b in slices(batches, text):
-            out = []
-            for t in b.column(text).to_pylist():
-                if t:
-                    plain, more = spans(t)
-                    parts, at = [], 0
-                    for x, y, kind in sorted((x, y, k) for k, x, y in plain + more):
-                        if x >= at:
-                            parts += [t[at:x], f"<{KINDS[kind]}>"]
-                        at = max(at, y)
-                    t = "".join([*parts, t[at:]])
-                out.append(t)
-            i = b.schema.get_field_index(text)
-            yield b.set_column(i, b.schema.field(i), pa.array(out, b.schema.field(i).type))
-
-    return docs.mapInArrow(run, docs.schema)
+    """Replaces every span in the text by its kind in angle brackets; overlapping spans of a text become one.
+
+    Null texts stay null and empty ones empty. Repeated rows are treated alike; an empty table stays empty; other columns of
+    any type and name stay as they are.
+    """
+
+    carried = Carried(docs, text=text)
+    return carried.frame.mapInArrow(_mask, carried.frame.schema).select(*carried.columns())
+
+
+def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        out = []
+        for t in b.column("text").to_pylist():
+            if t:
+                plain, more = spans(t)
+                parts, at = [], 0
+                for x, y, kind in sorted((x, y, k) for k, x, y in plain + more):
+                    if x >= at:
+                        parts += [t[at:x], f"<{KINDS[kind]}>"]
+                    at = max(at, y)
+                t = "".join([*parts, t[at:]])
+            out.append(t)
+        i = b.schema.get_field_index("text")
+        yield b.set_column(i, b.schema.field(i), pa.array(out, b.schema.field(i).type))
 
 
 def digest(found: DataFrame) -> DataFrame:

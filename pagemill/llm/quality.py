@@ -6,8 +6,8 @@ whole, whatever the order. Buckets are counted with map-side aggregation, so a s
 group, measure and bucket, however large one source is.
 
 A text passes if no measure lies beyond its group's fence: the upper quartile plus ``reach`` times the spread between
-quartiles (and a least spread). A group with fewer than ``least`` texts borrows the merged sketch of its language, and a
-small language that of the whole. Thresholds return to the rows by a join on the group's keys.
+quartiles (and a least spread). Every group, of any size, goes by its own sketch. Thresholds return to the rows by a join on
+the group's keys.
 """
 
 from __future__ import annotations
@@ -19,17 +19,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
-from .words import Words, gram_hashes, mix, ranges
+from .common import Carried, Scratch, slices, with_fields
+from .words import Words, ranges
 
 #: Measures by per mille, and the least spread between quartiles that counts (fixed parameters of the rules).
 MEASURES = {"symbols": 20, "dup_lines": 40, "repeats": 100, "long_words": 500, "short_words": 500}
-REACH, LEAST = 4, 100
+REACH = 4
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
+def windows_of_three(code: np.ndarray, at: np.ndarray, kinds: int) -> np.ndarray:
+    """Whole numbers that are equal for equal windows of codes below ``kinds``."""
+    if kinds < 1 << 21:
+        return (code[at] << 42) | (code[at + 1] << 21) | code[at + 2]
+    pair = np.unique(code[at] * kinds + code[at + 1], return_inverse=True)[1]
+    return pair * kinds + code[at + 2]
+
+
 def counts(texts: pa.Array) -> dict[str, np.ndarray]:
     """COUNTS of each text (null: all 0). Lines count if they hold a word."""
     w = Words(texts)
@@ -37,18 +45,20 @@ def counts(texts: pa.Array) -> dict[str, np.ndarray]:
     words, owner = w.counts(), w.owner()
     inner = ((w.data & 0xC0) != 0x80) & ~np.isin(w.data, (32, 9, 10, 11, 12, 13))
     by_text = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[w.offsets])
-    h = w.hashes()
-    repeats = np.zeros(len(h) + 1, np.int64)
+    code, names = w.codes()
+    code = code.astype(np.int64)
+    repeats = np.zeros(len(w) + 1, np.int64)
     windows = np.maximum(words - 2, 0)
     if windows.sum():
         at = np.repeat(w.first[:-1], windows) + ranges(windows)
-        gram = mix(gram_hashes(h, 3)[at] ^ mix(owner[at].astype(np.uint64) + np.uint64(1)))
-        order = np.argsort(gram, kind="stable")
-        same = np.flatnonzero(np.diff(gram[order]) == 0)
+        key = windows_of_three(code, at, len(names))
+        order = np.argsort(key, kind="stable")  # so equal windows of one text are neighbours
+        key, mine = key[order], owner[at[order]]
+        same = np.flatnonzero((key[1:] == key[:-1]) & (mine[1:] == mine[:-1]))
         twice = at[np.unique(np.concatenate([order[same], order[same + 1]]))]
         np.add.at(repeats, twice, 1)
         np.add.at(repeats, twice + 3, -1)
-    repeats = np.add.reduceat(np.append(np.cumsum(repeats)[:-1] > 0, False).astype(np.int64), np.minimum(w.first[:-1], len(h))) * (words > 0) if n else words
+    repeats = np.add.reduceat(np.append(np.cumsum(repeats)[:-1] > 0, False).astype(np.int64), np.minimum(w.first[:-1], len(w))) * (words > 0) if n else words
     lines, dup = np.zeros(n, np.int64), np.zeros(n, np.int64)
     data, offsets = w.data.tobytes(), w.offsets.tolist()
     for i in np.flatnonzero(words).tolist():
@@ -57,21 +67,17 @@ def counts(texts: pa.Array) -> dict[str, np.ndarray]:
     return dict(zip(COUNTS, (words, by_text(inner), by_text(SYMBOL[w.data]), dup, repeats, lines), strict=True))
 
 
-def _count(text: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text):
-            for name, v in counts(b.column(text)).items():
-                b = b.append_column(name, pa.array(v, pa.int64()))
-            yield b
-
-    return run
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        for name, v in counts(b.column("text")).items():
+            b = b.append_column(name, pa.array(v, pa.int64()))
+        yield b
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds COUNTS and base_failed to docs; columns of those names are replaced."""
-    docs = docs.drop(*COUNTS, "base_failed")
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), *(f"{c} long" for c in COUNTS)])
-    return docs.mapInArrow(_count(text), schema).withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
+def measured(rows: DataFrame) -> DataFrame:
+    """Adds COUNTS and base_failed to rows with a column text."""
+    schema = with_fields(rows, ", ".join(f"{c} long" for c in COUNTS))
+    return rows.mapInArrow(_count, schema).withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
 
 
 def values() -> list:
@@ -97,43 +103,38 @@ def sketches(rows: DataFrame) -> DataFrame:
     return long.select("lang", "source", "x.measure", bucket("x.v").alias("bucket")).groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame, keys: tuple[str, ...], reach: int = REACH) -> DataFrame:
-    """A row for each group by ``keys``: n and a map of measure to fence, from the merged sketches."""
-    merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+def fences(sketch: DataFrame, reach: int = REACH) -> DataFrame:
+    """A row for each group, with the fence of every measure."""
+    keys = ("lang", "source")
     group = Window.partitionBy(*keys, "measure")
-    run = merged.select("*", F.sum("n").over(group.orderBy("bucket")).alias("upto"), F.sum("n").over(group).alias("all"))
+    run = sketch.select("*", F.sum("n").over(group.orderBy("bucket")).alias("upto"), F.sum("n").over(group).alias("all"))
     least = F.create_map(*(F.lit(x) for kv in MEASURES.items() for x in kv))[F.col("measure")]
     cut = run.groupBy(*keys, "measure").agg(
-        F.max("all").alias("n"),
         F.min(F.when(4 * F.col("upto") >= F.col("all"), F.col("bucket"))).alias("q1"),
         F.min(F.when(4 * F.col("upto") >= 3 * F.col("all"), F.col("bucket"))).alias("q3"),
     )
     cut = cut.withColumn("fence", F.col("q3") + reach * F.greatest(F.col("q3") - F.col("q1"), least))
-    return cut.groupBy(*keys).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"_{m}") for m in MEASURES))
+    return cut.groupBy(*keys).agg(*(F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"max_{m}") for m in MEASURES))
 
 
-def judge(docs: DataFrame, text: str = "text", reach: int = REACH, least: int = LEAST) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", reach: int = REACH) -> DataFrame:
     """Adds COUNTS, base_failed and kept to docs, which needs lang and source.
 
     Null texts count as empty; texts with fewer than 50 words fail the base rule. A null lang or source is a group of its
-    own. Repeated rows count as often as they come. An empty table stays empty. Columns with the new names are replaced.
+    own. Repeated rows count as often as they come. An empty table stays empty. Other columns of any type and name stay,
+    but for those with the new names, which are replaced.
     """
     scratch = Scratch(docs.sparkSession)
-    names = [c for c in docs.columns if c not in (*COUNTS, "base_failed", "kept")]
-    rows = scratch.write(measured(docs.select(*names), text), "measured")
-    rows = rows.select("*", *(v.alias(f"_v_{m}") for m, v in zip(MEASURES, values())))
-    sketch = scratch.write(sketches(rows.select("lang", "source", *(F.col(f"_v_{m}").alias(m) for m in MEASURES))), "sketches")
-    both, lang, whole = (fences(sketch, k, reach) for k in (("lang", "source"), ("lang",), ()))
-    named = lambda df, tag: df.select(*(F.col(c).alias(f"{tag}{c}") for c in df.columns))
-    b, g, w = named(both, "b_"), named(lang, "l_"), named(whole, "w_")
-    picked = b.join(g, b["b_lang"].eqNullSafe(g["l_lang"])).join(w)
-    pick = lambda m: F.when(F.col("b_n") >= least, F.col(f"b__{m}")).when(F.col("l_n") >= least, F.col(f"l__{m}")).otherwise(F.col(f"w__{m}"))
-    limits = picked.select("b_lang", "b_source", *(pick(m).alias(f"_max_{m}") for m in MEASURES))
-    out = rows.join(limits, rows["lang"].eqNullSafe(limits["b_lang"]) & rows["source"].eqNullSafe(limits["b_source"]), "left")
+    carried = Carried(docs, *COUNTS, "base_failed", "kept", text=text, lang="lang", source="source")
+    rows = scratch.write(measured(carried.frame), "measured")
+    rows = rows.select("*", *(v.alias(f"v_{m}") for m, v in zip(MEASURES, values())))
+    sketch = scratch.write(sketches(rows.select("lang", "source", *(F.col(f"v_{m}").alias(m) for m in MEASURES))), "sketches")
+    limits = fences(sketch, reach).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
+    out = rows.join(limits, rows["lang"].eqNullSafe(limits["of_lang"]) & rows["source"].eqNullSafe(limits["of_source"]), "left")
     fine = ~F.col("base_failed")
     for m in MEASURES:
-        fine = fine & (F.col(f"_v_{m}") <= F.col(f"_max_{m}"))
-    return out.withColumn("kept", F.coalesce(fine, F.lit(False))).select(*names, *COUNTS, "base_failed", "kept")
+        fine = fine & (F.col(f"v_{m}") <= F.col(f"max_{m}"))
+    return out.withColumn("kept", F.coalesce(fine, F.lit(False))).select(*carried.columns(), *COUNTS, "base_failed", "kept")
 
 
 def digest(df: DataFrame) -> DataFrame:
@@ -156,13 +157,10 @@ v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words base_failed,
   1000 * word_chars // greatest(n_words, 1) long_words, greatest(0, 20000 - 1000 * word_chars // greatest(n_words, 1)) short_words FROM c),
 u AS (UNPIVOT (SELECT lang, source, doc_id, {", ".join(MEASURES)} FROM v) ON {", ".join(MEASURES)} INTO NAME measure VALUE x),
 k AS (SELECT lang, source, measure, (x >> greatest(length(bin(x)) - 10, 0)) << greatest(length(bin(x)) - 10, 0) b FROM u),
-s AS (SELECT 0 lvl, lang, source, measure, b, count(*) n FROM k GROUP BY ALL UNION ALL SELECT 1, lang, NULL, measure, b, count(*) FROM k GROUP BY ALL
-  UNION ALL SELECT 2, NULL, NULL, measure, b, count(*) FROM k GROUP BY ALL),
-q AS (SELECT *, sum(n) OVER (PARTITION BY lvl, lang, source, measure ORDER BY b) upto, sum(n) OVER (PARTITION BY lvl, lang, source, measure) total FROM s),
-f AS (SELECT lvl, lang, source, measure, max(total) n, min(b) FILTER (4 * upto >= total) q1, min(b) FILTER (4 * upto >= 3 * total) q3 FROM q GROUP BY ALL),
-e AS (SELECT *, q3 + {REACH} * greatest(q3 - q1, CASE measure {" ".join(f"WHEN '{m}' THEN {x}" for m, x in MEASURES.items())} END) fence FROM f),
-t AS (SELECT a.lang, a.source, a.measure, CASE WHEN a.n >= {LEAST} THEN a.fence WHEN b.n >= {LEAST} THEN b.fence ELSE c.fence END fence
-  FROM e a JOIN e b ON b.lvl = 1 AND a.measure = b.measure AND a.lang IS NOT DISTINCT FROM b.lang JOIN e c ON c.lvl = 2 AND a.measure = c.measure WHERE a.lvl = 0),
+s AS (SELECT lang, source, measure, b, count(*) n FROM k GROUP BY ALL),
+q AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY b) upto, sum(n) OVER (PARTITION BY lang, source, measure) total FROM s),
+f AS (SELECT lang, source, measure, min(b) FILTER (4 * upto >= total) q1, min(b) FILTER (4 * upto >= 3 * total) q3 FROM q GROUP BY ALL),
+t AS (SELECT *, q3 + {REACH} * greatest(q3 - q1, CASE measure {" ".join(f"WHEN '{m}' THEN {x}" for m, x in MEASURES.items())} END) fence FROM f),
 o AS (SELECT u.doc_id, bool_or(u.x > t.fence) beyond FROM u JOIN t ON u.measure = t.measure AND u.lang IS NOT DISTINCT FROM t.lang AND u.source IS NOT DISTINCT FROM t.source GROUP BY u.doc_id)
 SELECT v.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT beyond AS kept
 FROM v JOIN o ON v.doc_id = o.doc_id

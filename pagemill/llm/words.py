@@ -1,52 +1,37 @@
 """Words of whole batches of texts as NumPy arrays.
 
 A word is a maximal run of bytes other than space and U+0009..U+000D. In UTF-8 those six bytes never occur inside a longer
-character, so words can be cut from bytes. Hashes are polynomials modulo 2**64 from prefix sums, so any run of words can
-be hashed in constant time.
+character, so words can be cut from bytes. Which words are equal is decided by their bytes. A word's hash is cryptographic
+(made once for each distinct word of a batch); runs of words are hashed by joining halves with a mixer that is not linear,
+so no pattern of letters or words makes unlike runs meet.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 BASE = np.uint64(0x9E3779B97F4A7C15)
-BASE2 = np.uint64(0xD6E8FEB86659FD93)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**0..n-1 and its inverses, modulo 2**64."""
-    have = _powers.get(int(base))
-    if have is None or len(have[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        out = []
-        for b in (base, inverse):
-            x = np.full(size, b, np.uint64)
-            x[0] = 1
-            out.append(np.multiply.accumulate(x))
-        have = _powers[int(base)] = (out[0], out[1])
-    return have
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits that spreads every bit."""
-    h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+    k, by = np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
+    h = h ^ (h >> by)
+    h *= k
+    h ^= h >> by
+    h *= k
+    h ^= h >> by
+    return h
 
 
-def run_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint64 = BASE) -> np.ndarray:
-    """Of values[start:end] for arrays of start and end, without the length."""
-    up, down = powers(base, len(values) + 1)
-    prefix = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=prefix[1:])
-    return (prefix[end] - prefix[start]) * down[start]
+def digest(texts, size: int = 8) -> bytes:
+    """Digests of byte strings, one after the other."""
+    return b"".join([blake2b(t, digest_size=size).digest() for t in texts])
 
 
 class Words:
@@ -96,23 +81,33 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def codes(self) -> tuple[np.ndarray, pa.Array]:
+        """Of each word its number among the distinct words, and these; equal are words with equal bytes."""
+        size = np.concatenate([[0], np.cumsum(self.end - self.start)])
+        got = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(size), pa.py_buffer(self.data[~SPACE[self.data]])]).dictionary_encode()
+        return np.asarray(got.indices), got.dictionary
+
     def hashes(self) -> np.ndarray:
-        size = (self.end - self.start).astype(np.uint64)
-        return mix(run_hash(self.data.astype(np.uint64) + np.uint64(1), self.start, self.end) + size)
+        code, names = self.codes()
+        return np.frombuffer(digest(names.to_pylist()), np.uint64)[code]
 
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every n consecutive values; shorter inputs have none."""
-    if len(h) < n:
-        return np.zeros(0, np.uint64)
-    out = h[: len(h) - n + 1].copy()
-    for i in range(1, n):
-        out *= BASE
-        out += h[i : len(h) - n + 1 + i]
-    return mix(out)
+    """Hash of every n consecutive values; shorter inputs have none. A run's hash joins those of its halves."""
+    out, done, part, size, left = None, 0, h, 1, n
+    while left:
+        if left & 1:
+            m = max(0, len(h) - done - size + 1)
+            out = part[:m] if out is None else mix(out[:m] * BASE + part[done : done + m])
+            done += size
+        left >>= 1
+        if left:
+            m = max(0, len(part) - size)
+            part, size = mix(part[:m] * BASE + part[size : size + m]), 2 * size
+    return mix(out ^ np.uint64(n))
 
 
 def ranges(counts: np.ndarray) -> np.ndarray:

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from conftest import SF, rows
 from pagemill.llm import bagminhash, chat, katz, packing, pieces, pii, quality, queries, substring_dedup, topk, toxicity
+from pagemill.llm.common import row_key
 from pagemill.llm.queries import ORACLE_SQL, QUERIES, tokenizer
-from pagemill.llm.words import Words
+from pagemill.llm.words import Words, gram_hashes
 
 BPE, PIECES = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
 rng = random.Random(3)
@@ -22,13 +23,14 @@ LONG = " ".join(rng.choice("abcdefghij") * rng.randint(1, 4) for _ in range(60_0
 PASSAGE = " ".join(f"w{i}" for i in range(60))
 TEXTS = [None, "", " \n\t", "one", "a  b\x0bc\n", LONG, PASSAGE, f"x y {PASSAGE}\nz", "same words here now ok", "same words here now ok", "é日本 🎉 ▁ x", "<|endoftext|> tail", "a a a a a a a a a " * 30]
 #: Columns whose names the operators use themselves.
-EXTRA = ("n_words", "n_removed", "kept", "spans", "score", "ids", "piece", "start", "length", "sequence_id", "node", "band", "comp", "id", "a", "n", "block", "cell", "bucket", "row")
+EXTRA = ("_row1", "_row2", "_n", "_max_symbols", "_hits", "_f", "v_symbols", "max_symbols", "row_key1", "tie", "copy", "hits", "n_words", "n_removed", "kept", "spans", "score", "ids", "piece", "start", "length", "sequence_id", "node", "band", "comp", "id", "a", "n", "block", "cell", "bucket", "row")
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
     data = [(i if i != 4 else None, t, "en", "s0") for i, t in enumerate(TEXTS)] + [(6, PASSAGE, "en", "s0"), (None, None, None, None)]
-    return spark.createDataFrame(data, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(f"extra {c}") for c in EXTRA})
+    odd = spark.createDataFrame(data, "doc_id long, text string, lang string, source string").withColumns({c: F.lit(f"extra {c}") for c in EXTRA})
+    return odd.withColumns({"tags": F.create_map(F.lit("a"), F.col("source")), "at.`dot": F.struct(F.lit(None).cast("int").alias("x"))})
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +58,28 @@ def test_words(texts, tidy):
     assert got == [spark_words(t) for t in texts]
 
 
+def thue_morse(n, a, b):
+    return [(a, b)[i.bit_count() & 1] for i in range(n)]
+
+
+def test_hashes_tell_patterns_apart():
+    """Sequences that any polynomial modulo a power of two takes for equal, as letters of a word and as words."""
+    x, y = ("".join(thue_morse(4096, *p)) for p in ("ab", "ba"))
+    h = Words(pa.array([f"{x} {y} {x}"])).hashes()
+    assert h[0] == h[2] != h[1]
+    w = Words(pa.array([" ".join(thue_morse(4096, "a", "b") + thue_morse(4096, "b", "a"))]))
+    g = gram_hashes(w.hashes(), 4096)
+    assert g[0] != g[4096]
+
+
+def test_rows_that_differ_by_nulls_have_their_own_keys(spark):
+    data = [(1, "t", None), (1, None, "t"), (1, "t", None), (None, "1", "t"), (1, "", "t")]
+    df = spark.createDataFrame(data, "doc_id long, text string, note string").withColumn("m", F.create_map(F.lit("k"), F.col("note")))
+    assert len({tuple(r) for r in df.select(*row_key(df)).collect()}) == 4
+    kept = bagminhash.deduplicated(df).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"]), str(r["note"])) for r in kept) == [("1", "", "t"), ("1", "None", "t"), ("1", "t", "None"), ("None", "1", "t")]
+
+
 # 1
 
 
@@ -186,6 +210,16 @@ def test_quality_counts(texts):
     assert list(zip(*(c[k].tolist() for k in quality.COUNTS[:5]))) == [quality_base(t) for t in texts]
 
 
+def test_quality_long_patterns():
+    x, y = ("".join(thue_morse(4096, *p)) for p in ("ab", "ba"))
+    texts = [f"{x} q r {y} q r", " ".join(thue_morse(2048, "a", "b"))]
+    c = quality.counts(pa.array(texts))
+    assert list(zip(*(c[k].tolist() for k in quality.COUNTS[:5]))) == [quality_base(t) for t in texts]
+    many = np.arange(60, dtype=np.int64) % 7
+    few, wide = (quality.windows_of_three(many, np.arange(58), k) for k in (7, 1 << 22))
+    assert all((few[i] == few[j]) == (wide[i] == wide[j]) for i in range(58) for j in range(58))
+
+
 def test_quality_odd(odd, none):
     got = quality.judge(odd)
     assert got.count() == odd.count()
@@ -213,20 +247,29 @@ def test_substring_odd(odd, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [60, 300, 1 << 20])
 @pytest.mark.parametrize("seed", range(3))
-def test_substring_small_windows(spark, seed):
+def test_substring_small_windows(spark, seed, bucket):
+    """Buckets of any size, held or let out, give the definition's result."""
     r = random.Random(seed)
     texts = [" ".join(r.choice("ab") for _ in range(r.randint(0, 40))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = [tuple(x)[1:] for x in substring_dedup.digest(substring_dedup.remove_repeats(df, width=6, gram=2)).orderBy("doc_id").collect()]
+    got = [tuple(x)[1:] for x in substring_dedup.digest(substring_dedup.remove_repeats(df, width=6, gram=2, bucket=bucket)).orderBy("doc_id").collect()]
     assert got == substring_dedup.brute_force(texts, 6)
 
 
+def test_substring_patterns(spark):
+    """Windows of 35 two-word patterns against the definition, with words that differ late."""
+    x, y = ("".join(thue_morse(512, *p)) for p in ("ab", "ba"))
+    texts = [" ".join(thue_morse(300, x, y)), " ".join(thue_morse(300, y, x)), " ".join(thue_morse(64, "a", "b") + thue_morse(64, "b", "a"))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [tuple(r)[1:] for r in substring_dedup.digest(substring_dedup.remove_repeats(df)).orderBy("doc_id").collect()]
+    assert got == substring_dedup.brute_force(texts)
+
+
 def test_demoted_grams_change_nothing():
     texts = pa.array([f"a{i} b c d e f g h{i % 3} i j" for i in range(50)])
     h = Words(texts).hashes()
-    from pagemill.llm.words import gram_hashes
-
     hot = np.unique(gram_hashes(h, 2) >> np.uint64(1))[::2]
     for some in (np.zeros(0, np.uint64), hot):
         c = substring_dedup.Cuts(texts, 5, 2, some)
@@ -330,11 +373,11 @@ def near_copies(seed):
 
 
 @pytest.mark.parametrize("cell", [1024, 8])
-def test_near_duplicates(spark, cell, monkeypatch):
-    monkeypatch.setattr(bagminhash, "CELL", cell)  # small cells: bands are dealt out to several
+def test_near_duplicates(spark, cell):
+    """With small cells bands are dealt out to several, or give way to pairs of bands."""
     texts = near_copies(cell) + [None, "", "a b", "a b"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["class_id"] for r in bagminhash.classes(df).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.classes(df, cell=cell, wide=2).collect()}
     assert [got[i] for i in range(len(texts))] == components(texts)
 
 
