@@ -43,8 +43,8 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens, placed in sequences."""
-    return packing.pack_documents(docs.select("doc_id", "text"), tokenizer("byte_bpe_50k.json"), with_ids=False)
+    """Pieces of at most 2048 tokens with their ids, placed in sequences. Null and empty texts are one piece each."""
+    return packing.pack_documents(docs.select("doc_id", "text"), tokenizer("byte_bpe_50k.json"))
 
 
 STAGES = [
