@@ -1,15 +1,18 @@
-"""Katz backoff bigram model: Good-Turing discounts, exactly normalised backoff weights, scores for every text.
+"""Katz backoff model of any order: Good-Turing discounts, exactly normalised backoff weights, scores for every text.
 
-    P(w | h) = d(c(hw)) c(hw) / c(h)        if hw was seen, else  alpha(h) P(w)
+    P(w | h) = d(c(hw)) c(hw) / c(h)        if hw was seen, else  alpha(h) P(w | h without its first word)
     P(w)     = d(c(w)) c(w) / N             if w was seen, else the mass that discounting left (one unknown word)
 
 with alpha(h) such that P(. | h) sums to 1 over the known words and the unknown one; a context never seen backs off whole.
+Before a text's first word stands a mark as often as the order asks.
 
 Layout. Texts become blocks of some million tokens: a table in the shared folder with each block's word list and token codes.
-Only a block's distinct words and distinct pairs travel, as compressed arrays, to buckets that add up counts; what comes back
-to a block are the counts of exactly those entries. Words go by their hash. Pairs go by their context, so that one bucket sees
-all followers of a context; a context with more than 1/HOT of all tokens goes by pair instead, and its sums (at most HOT
-contexts by construction) are added up afterwards. The driver sees count-of-count numbers and those bounded sums only.
+Orders are handled one after the other, as P of an order needs P of the one below. Only a block's distinct n-grams travel, as
+compressed arrays, to the buckets of that order's count table (a table in the shared folder, a partition for some contexts);
+what comes back to a block are the counts of exactly those n-grams and their contexts' sums. Words go by their hash and get
+numbers there. N-grams go by their context, so that one bucket sees all followers of a context; a context with more than
+1 / ``hot`` of all tokens goes by n-gram instead, and its sums (at most ``hot`` contexts by construction) are added up afterwards.
+The number of buckets follows the tokens. The driver sees count-of-count numbers and those bounded sums only.
 """
 
 from __future__ import annotations
@@ -23,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, grouped, grow, shrink, shuffle_width, slices
+from .common import Scratch, grouped, grow, named, shrink, shuffle_width, slices
 from .words import Words, mix
 
 #: Counts up to TOP are discounted.
 TOP = 5
-BLOCK_TOKENS = 1_500_000
+ORDER = 2
+#: Tokens of a block, and of a bucket on average at most.
+BLOCK_TOKENS, BUCKET_TOKENS = 1_500_000, 400_000
 HOT = 4096
 #: Keys of the end of a text and of the context before its first word.
 END, BEGIN = np.uint64(1), np.uint64(2)
@@ -95,14 +100,15 @@ def _block(block: int, parts: list) -> dict:
         "ids": [x for p in parts for x in p[3]],
         "train": train.astype(np.uint8).tobytes(),
         "counts": shrink(counts.astype(np.uint32)),
+        "tokens": int(counts.sum()),
         "words": np.append(words, BEGIN).tobytes(),
         "learn": shrink(np.append(learn, np.uint32(train.sum()))),
         "codes": shrink(codes),
     }
 
 
-BLOCK = "block long, ids array<long>, train binary, counts binary, words binary, learn binary, codes binary"
-BLOCK_TYPE = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in ("train", "counts", "words", "learn", "codes"))])
+BLOCK = "block long, ids array<long>, tokens long, train binary, counts binary, words binary, learn binary, codes binary"
+BLOCK_TYPE = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("tokens", pa.int64()), *((c, pa.binary()) for c in ("train", "counts", "words", "learn", "codes"))])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[pa.RecordBatch]:
@@ -177,49 +183,104 @@ def _add_words(buckets: int):
     return run
 
 
+class Grams:
+    """The distinct n-grams of a block: number of the context among the n-grams one shorter (the last: the begin of a text),
+    word, n-gram that stays without the first word, key and learned count; of: which one each token ends."""
+
+    def __init__(self, k: Block, of: np.ndarray, key: np.ndarray, often: np.ndarray):
+        before = np.empty(len(of), np.int64)
+        before[1:] = of[:-1]
+        before[k.first] = len(key) - 1
+        both, at, self.of = np.unique(before * k.kinds + k.codes, return_index=True, return_inverse=True)
+        self.context, self.word = np.divmod(both, k.kinds)
+        self.short, self.context_key, self.often = of[at], key[self.context], often[self.context]
+        self.learned = np.bincount(self.of, np.repeat(k.train, k.counts), len(both)).astype(np.int64)
+        self.key = mix(mix(self.context_key.astype(np.uint64) + np.uint64(1)) ^ k.number_of[self.word].astype(np.uint64)).view(np.int64)
+
+    def split(self, k: Block, buckets: int, tokens: int, hot: int) -> Iterator[tuple[int, np.ndarray]]:
+        c, w = self.context_key, k.number_of[self.word]
+        place = mix(c.astype(np.uint64) + np.uint64(1))
+        far = self.often * hot > tokens
+        place = np.where(far, mix(place ^ w.astype(np.uint64)), place)
+        return _split(place % np.uint64(buckets), w, c)
+
+
 class Block:
-    """A block with what has come back to it."""
+    """A block with what has come back to it: grams, count and p of the highest order that is known."""
 
-    def __init__(self, rows: list[dict], buckets: int):
+    def __init__(self, rows: list[dict], buckets: int, hot: int, uni: Unigrams, known: list[Known]):
         own = next(r for r in rows if r["kind"] == 0)
         self.number, self.ids = own["block"], own["ids"]
         self.train, self.counts = np.frombuffer(own["train"], np.uint8).astype(bool), grow(own["counts"], np.uint32).astype(np.int64)
-        words, codes = np.frombuffer(own["words"], np.uint64), grow(own["codes"], np.uint32).astype(np.int64)
-        back = {r["bucket"]: r for r in rows if r["kind"] == 1}
+        words, self.codes = np.frombuffer(own["words"], np.uint64), grow(own["codes"], np.uint32).astype(np.int64)
+        self.kinds = len(words)
+        back = {(r["kind"], r["bucket"]): r for r in rows}
         self.number_of, self.total = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
-        for k, i in _split(words % np.uint64(buckets), words):
-            self.number_of[i], self.total[i] = grow(back[k]["a"], np.int64), grow(back[k]["b"], np.int64)
+        for b, i in _split(words % np.uint64(buckets), words):
+            r = back[1, b]
+            self.number_of[i], self.total[i] = grow(r["a"], np.int64), grow(r["b"], np.int64)
         self.first = np.cumsum(self.counts) - self.counts
-        self.codes = codes
-        before = np.empty(len(codes), np.int64)
-        before[1:] = codes[:-1]
-        before[self.first] = len(words) - 1
-        key, self.pair_of = np.unique(before * len(words) + codes, return_inverse=True)
-        self.context, self.word = np.divmod(key, len(words))
-
-    def learned(self) -> np.ndarray:
-        return np.bincount(self.pair_of, np.repeat(self.train, self.counts), len(self.context)).astype(np.int64)
-
-    def split(self, buckets: int, tokens: int, hot: int) -> Iterator[tuple[int, np.ndarray]]:
-        c, w = self.number_of[self.context], self.number_of[self.word]
-        key = mix(c.astype(np.uint64) + np.uint64(1))
-        far = self.total[self.context] * hot > tokens
-        key = np.where(far, mix(key ^ w.astype(np.uint64)), key)
-        return _split(key % np.uint64(buckets), w, c)
-
-
-def _blocks_of(batches, buckets):
+        # what the next order's contexts are: n-gram of each token, key and count of each, with the begin of a text at the end
+        self.of, self.key, self.count = self.codes, self.number_of, self.total
+        self.p = uni.p(self.total)
+        for order, sums in enumerate(known, 2):
+            self.learn(order, back, buckets, hot, uni, sums)
+
+    def grams(self) -> Grams:
+        return Grams(self, self.of, self.key, self.count)
+
+    def learn(self, order: int, back: dict, buckets: int, hot: int, uni: Unigrams, sums: Known) -> None:
+        """From order - 1 to order."""
+        g = self.grams()
+        count, alpha, scale = np.empty(len(g.key), np.int64), np.empty(len(g.key)), np.empty(len(g.key))
+        for bucket, i in g.split(self, buckets, uni.total, hot):
+            r = back[order, bucket]
+            count[i] = grow(r["a"], np.int64)
+            new = np.flatnonzero(np.diff(g.context_key[i], prepend=g.context_key[i[0]] - 1))
+            c, runs = i[new], np.diff(np.append(new, len(i)))
+            n, seen = grow(r["b"], np.uint32).reshape(TOP, -1).T.astype(np.int64), grow(r["c"], np.float64)
+            far = g.often[c] * hot > uni.total
+            if far.any():
+                at = np.searchsorted(sums.key, g.context_key[c[far]])
+                n[far], seen[far] = sums.n[at], sums.seen[at]
+            x, y = backoff(sums.d, g.often[c], n, seen)
+            alpha[i], scale[i] = np.repeat(x, runs), np.repeat(y, runs)
+        of = np.maximum(g.often, 1)
+        p = np.where(count > 0, sums.d[np.where(count <= TOP, count, 0)] * count / of * scale, alpha * self.p[g.short])
+        begin = self.key[-1], self.count[-1]
+        self.of, self.key, self.count, self.p = g.of, np.append(g.key, begin[0]), np.append(count, begin[1]), p
+
+
+class Known:
+    """An order's discounts, and the sums of its frequent contexts."""
+
+    def __init__(self, rows: list):
+        sums = {r["key"]: r for r in rows}
+        few = sums.pop(-1, None)
+        names = sorted(sums)
+        self.key = np.array(names, np.int64)
+        self.n = np.array([[sums[c][x] for x in COLS[1:-1]] for c in names], np.int64).reshape(-1, TOP)
+        self.seen = np.array([sums[c]["seen"] for c in names], float)
+        self.d = np.array(discounts([few[c] for c in COLS] if few else [0] * (TOP + 2)))
+
+
+def _blocks_of(batches, *how):
     for _, rows in grouped(batches, "block"):
-        yield rows, Block(rows, buckets)
+        yield Block(rows, *how)
 
 
-def _send_pairs(buckets: int, tokens: int, hot: int):
+def _send_grams(buckets: int, hot: int, uni: Unigrams, known: list[Known]):
+    """Of a block's n-grams, for each bucket: contexts (a), words (b), learned counts and lower P (c), contexts' counts and runs (d)."""
+
     def run(batches):
-        for _, k in _blocks_of(batches, buckets):
-            learned, out = k.learned(), []
-            for bucket, i in k.split(buckets, tokens, hot):
-                c = k.context[i]
-                out.append({"bucket": bucket, "block": k.number, "a": shrink(k.number_of[c]), "b": shrink(k.number_of[k.word[i]]), "c": shrink(np.stack([learned[i], k.total[k.word[i]]]).ravel()), "d": shrink(k.total[c])})
+        for k in _blocks_of(batches, buckets, hot, uni, known):
+            g, out = k.grams(), []
+            lower = k.p[g.short].view(np.int64) if known else k.total[g.word]
+            for bucket, i in g.split(k, buckets, uni.total, hot):
+                c = g.context_key[i]
+                new = np.flatnonzero(np.diff(c, prepend=c[0] - 1))
+                runs = np.diff(np.append(new, len(i)))
+                out.append({"bucket": bucket, "block": k.number, "a": shrink(np.diff(c[new], prepend=0)), "b": shrink(k.number_of[g.word[i]]), "c": shrink(np.stack([g.learned[i], lower[i]]).ravel()), "d": shrink(np.stack([g.often[i[new]], runs]).ravel())})
                 if len(out) == 64:
                     yield _mail(out)
                     out = []
@@ -231,36 +292,37 @@ def _send_pairs(buckets: int, tokens: int, hot: int):
 
 def _followers(context, c, p):
     """For sorted contexts: where each begins, followers with count 1..TOP, and the sum of P."""
-    starts = np.flatnonzero(np.diff(context, prepend=-1))
+    starts = np.flatnonzero(np.diff(context, prepend=context[0] - 1))
     n = np.stack([np.add.reduceat((c == r).astype(np.int64), starts) for r in range(1, TOP + 1)], 1)
     return starts, n, np.add.reduceat(np.where(c > 0, p, 0.0), starts)
 
 
-def _add_pairs(uni: Unigrams, share: int):
+def _add_grams(uni: Unigrams, share: int, first: bool):
     def run(batches):
         for bucket, rows in grouped(batches, "bucket"):
-            a, b = ([grow(r[x], np.int64) for r in rows] for x in "ab")
-            size = [len(x) for x in a]
-            context, word = np.concatenate(a), np.concatenate(b)
+            heads = [grow(r["d"], np.int64).reshape(2, -1) for r in rows]
+            runs = np.concatenate([h[1] for h in heads])
+            context = np.repeat(np.concatenate([np.cumsum(grow(r["a"], np.int64)) for r in rows]), runs)
+            often = np.repeat(np.concatenate([h[0] for h in heads]), runs)
+            words = [grow(r["b"], np.int64) for r in rows]
+            size, word = [len(x) for x in words], np.concatenate(words)
             both = [grow(r["c"], np.int64).reshape(2, -1) for r in rows]
-            learned, total = (np.concatenate([x[i] for x in both]) for i in (0, 1))
-            often = np.concatenate([grow(r["d"], np.int64) for r in rows])
+            learned, lower = (np.concatenate([x[i] for x in both]) for i in (0, 1))
             order = np.lexsort((word, context))
             s, t = context[order], word[order]
             new = np.ones(len(s), bool)
             new[1:] = (s[1:] != s[:-1]) | (t[1:] != t[:-1])
-            first = np.flatnonzero(new)
-            pair = np.empty(len(s), np.int64)
-            pair[order] = np.cumsum(new) - 1
-            count = np.add.reduceat(learned[order], first)
-            starts, n, seen = _followers(s[first], count, uni.p(total[order[first]]))
-            names, often = s[first][starts], often[order[first]][starts]
+            start = np.flatnonzero(new)
+            gram = np.empty(len(s), np.int64)
+            gram[order] = np.cumsum(new) - 1
+            count, lower = np.add.reduceat(learned[order], start), lower[order[start]]
+            starts, n, seen = _followers(s[start], count, uni.p(lower) if first else lower.view(np.float64))
+            names, often = s[start][starts], often[order[start]][starts]
             hot = often * share > uni.total
             out, at = [], 0
-            for r, m in zip(rows, size):
-                mine = context[at : at + m]
-                which = np.searchsorted(names, mine[np.flatnonzero(np.diff(mine, prepend=-1))])
-                out.append({"bucket": bucket, "block": r["block"], "a": shrink(count[pair[at : at + m]]), "b": shrink(np.ascontiguousarray(n[which].T.astype(np.uint32)).ravel()), "c": shrink(seen[which])})
+            for r, m, h in zip(rows, size, heads):
+                which = np.searchsorted(names, context[at + np.cumsum(h[1]) - h[1]])
+                out.append({"bucket": bucket, "block": r["block"], "a": shrink(count[gram[at : at + m]]), "b": shrink(np.ascontiguousarray(n[which].T.astype(np.uint32)).ravel()), "c": shrink(seen[which])})
                 at += m
             few = np.bincount(count[count <= TOP + 1], minlength=TOP + 2)
             out.append({"bucket": bucket, "block": -1, "a": few.astype(np.int64).tobytes(), "b": names[hot].tobytes(), "c": n[hot].astype(np.int64).tobytes(), "d": seen[hot].tobytes()})
@@ -286,31 +348,14 @@ def _sums(batches):
 # scores
 
 
-def _score(buckets: int, uni: Unigrams, d: np.ndarray, share: int, hot: tuple[np.ndarray, np.ndarray, np.ndarray]):
+def _score(buckets: int, hot: int, uni: Unigrams, known: list[Known]):
     kinds = [("id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
     def run(batches):
-        for rows, k in _blocks_of(batches, buckets):
-            back = {r["bucket"]: r for r in rows if r["kind"] == 2}
-            count, p = np.empty(len(k.context), np.int64), uni.p(k.total)
-            alpha, scale = np.ones(len(p)), np.ones(len(p))
-            for bucket, i in k.split(buckets, uni.total, share):
-                r = back[bucket]
-                count[i] = grow(r["a"], np.int64)
-                c = k.context[i]
-                c = c[np.flatnonzero(np.diff(k.number_of[c], prepend=-1))]
-                n, seen = grow(r["b"], np.uint32).reshape(TOP, -1).T.astype(np.int64), grow(r["c"], np.float64)
-                far = k.total[c] * share > uni.total
-                if far.any():
-                    at = np.searchsorted(hot[0], k.number_of[c[far]])
-                    n[far], seen[far] = hot[1][at], hot[2][at]
-                alpha[c], scale[c] = backoff(d, k.total[c], n, seen)
-            c, w = k.context, k.word
-            of = np.maximum(k.total[c], 1)
-            prob = np.where(count > 0, d[np.where(count <= TOP, count, 0)] * count / of * scale[c], alpha[c] * p[w])
+        for k in _blocks_of(batches, buckets, hot, uni, known):
             add = lambda v: np.add.reduceat(v, k.first) if len(k.first) else v
             base = np.log10((k.total + 1) / (uni.total + uni.kinds + 1))
-            cols = (k.ids, k.train, k.counts, add((k.total[k.codes] > 0).astype(np.int64)), np.full(len(k.ids), uni.total), add(base[k.codes]), add(np.log10(prob)[k.pair_of]))
+            cols = (k.ids, k.train, k.counts, add((k.total[k.codes] > 0).astype(np.int64)), np.full(len(k.ids), uni.total), add(base[k.codes]), add(np.log10(k.p)[k.of]))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(cols, kinds)], names=[x for x, _ in kinds])
 
     return run
@@ -323,8 +368,8 @@ def _with(kind: int, df: DataFrame) -> DataFrame:
     return df.select(*((F.lit(kind) if c == "kind" else F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in cols.items()))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", train_col: str = "train", text: str = "text", hot: int = HOT, block: int = BLOCK_TOKENS) -> DataFrame:
-    """Learns from the rows with ``train_col`` true and scores all.
+def score(docs: DataFrame, id_col: str = "doc_id", train_col: str = "train", text: str = "text", order: int = ORDER, hot: int = HOT, block: int = BLOCK_TOKENS) -> DataFrame:
+    """Learns from the rows with ``train_col`` true and scores all, with contexts of ``order`` - 1 words.
 
     Gives id_col, train_col, n_tokens (words and the end), n_known, train_tokens, base_score (add-one unigram) and score
     (log10 probability under the model). A null text has the end only; a null in train_col counts as false; rows with a null
@@ -333,27 +378,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", train_col: str = "train", tex
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     width = shuffle_width(spark)
-    buckets = 4 * width
-    blocks = scratch.write(docs.select(F.col(id_col).cast("long").alias("id"), F.col(train_col).alias("train"), F.col(text).alias("text")).mapInArrow(lambda batches: _blocks(batches, block), BLOCK), "blocks")
+    blocks = scratch.write(docs.select(named(id_col).cast("long").alias("id"), named(train_col).alias("train"), named(text).alias("text")).mapInArrow(lambda batches: _blocks(batches, block), BLOCK), "blocks")
+    tokens = blocks.agg(F.sum("tokens")).first()[0] or 0
+    buckets = max(4 * width, -(-tokens // BUCKET_TOKENS))
     at = lambda df, key: df.repartition(width, key).sortWithinPartitions(key, "block" if key == "bucket" else "kind")
     words = scratch.write(at(blocks.mapInArrow(_send_words(buckets), MAIL), "bucket").mapInArrow(_add_words(buckets), MAIL), "words")
     stats = [np.frombuffer(r[0], np.int64) for r in words.where("block = -1").select("a").collect()]
     sums = np.sum(stats, 0).tolist() if stats else [0] * (TOP + 3)
     uni = Unigrams(sums[0], sums[1], [0, *sums[2:]])
-    known = [_with(0, blocks), _with(1, words.where("block >= 0"))]
-    scratch.drop()
-    sent = at(known[0].unionByName(known[1]), "block").mapInArrow(_send_pairs(buckets, uni.total, hot), MAIL)
-    pairs = scratch.write(at(sent, "bucket").mapInArrow(_add_pairs(uni, hot), MAIL), "pairs")
-    del sent
+    met, known = _with(0, blocks).unionByName(_with(1, words.where("block >= 0"))), []
+    for n in range(2, order + 1):
+        scratch.drop()
+        sent = at(met, "block").mapInArrow(_send_grams(buckets, hot, uni, known), MAIL)
+        counts = scratch.write(at(sent, "bucket").mapInArrow(_add_grams(uni, hot, n == 2), MAIL), f"order_{n}")
+        del sent
+        known = [*known, Known(counts.where("block = -1").mapInArrow(_sums, SUMS).groupBy("key").agg(*(F.sum(c).alias(c) for c in (*COLS, "seen"))).collect())]
+        met = met.unionByName(_with(n, counts.where("block >= 0")))
     scratch.drop()
-    sums = {r["key"]: r for r in pairs.where("block = -1").mapInArrow(_sums, SUMS).groupBy("key").agg(*(F.sum(c).alias(c) for c in (*COLS, "seen"))).collect()}
-    few = sums.pop(-1, None)
-    names = sorted(sums)
-    table = (np.array(names, np.int64), np.array([[sums[c][x] for x in COLS[1:-1]] for c in names], np.int64).reshape(-1, TOP), np.array([sums[c]["seen"] for c in names], float))
-    n = [few[c] for c in COLS] if few else [0] * (TOP + 2)
-    met = at(known[0].unionByName(known[1]).unionByName(_with(2, pairs.where("block >= 0"))), "block")
     out = "id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return met.mapInArrow(_score(buckets, uni, np.array(discounts(n)), hot, table), out).withColumnsRenamed({"id": id_col, "train": train_col})
+    return at(met, "block").mapInArrow(_score(buckets, hot, uni, known), out).withColumnsRenamed({"id": id_col, "train": train_col})
 
 
 def held_out(df: DataFrame, id_col: str = "doc_id", parts: int = 7, part: int = 2):
@@ -361,33 +404,34 @@ def held_out(df: DataFrame, id_col: str = "doc_id", parts: int = 7, part: int =
     return F.coalesce(F.crc32(df[id_col].cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def brute_force(texts: list[str | None], train: list[bool]) -> tuple[list[tuple[int, int, float, float]], Unigrams, object]:
-    """The same model from dictionaries, for tests: rows, and P(w | h) as a function."""
+def brute_force(texts: list[str | None], train: list[bool], order: int = ORDER) -> tuple[list[tuple[int, int, float, float]], Unigrams, object]:
+    """The same model from dictionaries, for tests: rows, and P(w | h) as a function of a tuple of words (0: begin)."""
     lower = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     docs = [[*(t or "").encode().translate(lower).split(), None] for t in texts]
     learn = [d for d, t in zip(docs, train) if t]
-    one, two = Counter(w for d in learn for w in d), Counter(p for d in learn for p in zip([0, *d], d))
-    of = Counter(p[0] for p in two.elements())
-    n1, n2 = ([0, *(sum(v == r for v in c.values()) for r in range(1, TOP + 2))] for c in (one, two))
-    uni, d = Unigrams(sum(one.values()), len(one), n1), np.array(discounts(n2))
-    followers: dict = {}
-    for (h, w), c in two.items():
-        followers.setdefault(h, []).append((w, c))
-
-    def p1(w):
-        return float(uni.p(np.array([one[w]]))[0])
-
-    def p(h, w):
-        if not of[h]:
-            return p1(w)
-        f = followers[h]
+    grams = lambda d, n: list(zip(*(([0] * (n - 1) + d)[i:] for i in range(n))))
+    count = [Counter(g for d in learn for g in grams(d, n)) for n in range(1, order + 1)]
+    few = [[0, *(sum(v == r for v in c.values()) for r in range(1, TOP + 2))] for c in count]
+    uni, d = Unigrams(sum(count[0].values()), len(count[0]), few[0]), [np.array(discounts(f)) for f in few]
+    followers: list[dict] = [{} for _ in range(order)]
+    for n, c in enumerate(count):
+        for g, k in c.items():
+            followers[n].setdefault(g[:-1], []).append((g[-1], k))
+
+    def p(h: tuple, w):
+        if not h:
+            return float(uni.p(np.array([count[0][(w,)]]))[0])
+        f = followers[len(h)].get(h)
+        if not f:
+            return p(h[1:], w)
+        of = sum(c for _, c in f)
         n = np.array([[sum(c == r for _, c in f) for r in range(1, TOP + 1)]])
-        alpha, scale = backoff(d, np.array([of[h]]), n, np.array([sum(p1(x) for x, _ in f)]))
-        c = two[h, w]
-        return float((d[c] if c <= TOP else 1.0) * c / of[h] * scale[0]) if c else float(alpha[0]) * p1(w)
+        alpha, scale = backoff(d[len(h)], np.array([of]), n, np.array([sum(p(h[1:], x) for x, _ in f)]))
+        c = count[len(h)][(*h, w)]
+        return float((d[len(h)][c] if c <= TOP else 1.0) * c / of * scale[0]) if c else float(alpha[0]) * p(h[1:], w)
 
     rows = []
     for t in docs:
-        base = sum(math.log10((one[w] + 1) / (uni.total + uni.kinds + 1)) for w in t)
-        rows.append((len(t), sum(one[w] > 0 for w in t), base, sum(math.log10(p(h, w)) for h, w in zip([0, *t], t))))
+        base = sum(math.log10((count[0][(w,)] + 1) / (uni.total + uni.kinds + 1)) for w in t)
+        rows.append((len(t), sum(count[0][(w,)] > 0 for w in t), base, sum(math.log10(p(g[:-1], g[-1])) for g in grams(t, order))))
     return rows, uni, p

