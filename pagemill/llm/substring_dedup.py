@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ROW, Carried, Scratch, row_key, shuffle_width, slices, with_fields
-from .words import Words, digest as digests, gram_hashes, ranges
+from .words import Words, digest as digests, gram_hashes, mix, ranges
 
 WIDTH, GRAM = 35, 4
 #: Windows of one packed string at most; longer runs of one minimiser are cut.
@@ -90,7 +90,8 @@ def _minimisers(width, gram):
         for b in slices(batches):
             c = Cuts(b.column("text"), width, gram, none)
             if len(c.a):
-                key = keys(c.packed())[0]
+                # enough to tell most strings of one minimiser apart
+                key = (mix(c.h[c.a] ^ mix(c.h[c.a + c.n + width - 2])) + c.n.astype(np.uint64)).view(np.int64)
                 mini, n = np.unique(_distinct(c.mini.view(np.int64), key)[0], return_counts=True)
                 total += int(n.sum())
                 parts.append((mini[n > 1], n[n > 1]))

@@ -1,9 +1,9 @@
 """Words of whole batches of texts as NumPy arrays.
 
 A word is a maximal run of bytes other than space and U+0009..U+000D. In UTF-8 those six bytes never occur inside a longer
-character, so words can be cut from bytes. Which words are equal is decided by their bytes. A word's hash is cryptographic
-(made once for each distinct word of a batch); runs of words are hashed by joining halves with a mixer that is not linear,
-so no pattern of letters or words makes unlike runs meet.
+character, so words can be cut from bytes. A word's hash adds up values that look random for each place and letter (tabulation); runs
+of words are hashed by joining halves with a mixer that is not linear. So no pattern of letters or words makes unlike ones
+meet. Where equality itself counts, codes() tells words apart by their bytes, and digest() gives cryptographic keys.
 """
 
 from __future__ import annotations
@@ -29,6 +29,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _value(place: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    return mix(mix((place.astype(np.uint64) << np.uint64(8) | letter.astype(np.uint64)) + BASE) + BASE)
+
+
+#: Places of a word with values at hand, and these.
+NEAR = 64
+LETTERS = _value(np.repeat(np.arange(NEAR), 256), np.tile(np.arange(256), NEAR))
+
+
 def digest(texts, size: int = 8) -> bytes:
     """Digests of byte strings, one after the other."""
     return b"".join([blake2b(t, digest_size=size).digest() for t in texts])
@@ -54,13 +63,14 @@ class Words:
         space = SPACE[data]
         if tidy and len(data):
             data, offsets, space = self._tidy(data, offsets, space)
-        begins, ends = ~space, ~space
+        self.inside = inside = ~space
+        begins, ends = inside.copy(), inside.copy()
         if len(data):
             begins[1:] &= space[:-1]
             ends[:-1] &= space[1:]
             cut = offsets[(offsets > 0) & (offsets < len(data))]
-            begins[cut] |= ~space[cut]
-            ends[cut - 1] |= ~space[cut - 1]
+            begins[cut] |= inside[cut]
+            ends[cut - 1] |= inside[cut - 1]
         self.data, self.offsets = data, offsets
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
@@ -84,12 +94,29 @@ class Words:
     def codes(self) -> tuple[np.ndarray, pa.Array]:
         """Of each word its number among the distinct words, and these; equal are words with equal bytes."""
         size = np.concatenate([[0], np.cumsum(self.end - self.start)])
-        got = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(size), pa.py_buffer(self.data[~SPACE[self.data]])]).dictionary_encode()
+        got = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(size), pa.py_buffer(self.data[self.inside])]).dictionary_encode()
         return np.asarray(got.indices), got.dictionary
 
     def hashes(self) -> np.ndarray:
-        code, names = self.codes()
-        return np.frombuffer(digest(names.to_pylist()), np.uint64)[code]
+        size = self.end - self.start
+        if not len(size):
+            return np.zeros(0, np.uint64)
+        ends = np.cumsum(size)
+        letter = self.data[self.inside]
+        place = np.arange(len(letter), dtype=np.int32)
+        place -= np.repeat((ends - size).astype(np.int32), size)
+        near = np.minimum(place, NEAR - 1)
+        near <<= 8
+        near |= letter
+        value = LETTERS.take(near)
+        if int(size.max()) >= NEAR:
+            far = np.flatnonzero(place >= NEAR - 1)
+            value[far] = _value(place[far], letter[far])
+        upto = np.cumsum(value)[ends - 1]
+        total = size.astype(np.uint64)
+        total += upto
+        total[1:] -= upto[:-1]
+        return mix(total)
 
     def owner(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
