@@ -6,7 +6,9 @@ the same order. Instances live once a Python worker, by their full settings.
 
 from __future__ import annotations
 
+import inspect
 import json
+import os
 from typing import Any
 
 import numpy as np
@@ -35,6 +37,15 @@ class Registry:
             self._made[key] = self._kinds[kind][name](**settings)
         return self._made[key]
 
+    def settings(self, kind: str, name: str, **settings: Any) -> dict[str, Any]:
+        """Those of the settings that a class takes; raises where it needs one more, so that no task has to fail first."""
+        if name not in self._kinds[kind]:
+            raise ValueError(f"no {kind} named {name!r}; there are: {', '.join(self.names(kind))}")
+        takes = inspect.signature(self._kinds[kind][name]).parameters
+        if lack := [k for k, v in takes.items() if v.default is v.empty and v.kind == v.POSITIONAL_OR_KEYWORD and settings.get(k) is None]:
+            raise ValueError(f"{kind} {name!r} needs: {', '.join(lack)}")
+        return {k: v for k, v in settings.items() if k in takes and v is not None}
+
     def names(self, kind: str) -> list[str]:
         return sorted(self._kinds[kind])
 
@@ -80,11 +91,38 @@ def _session(path: str, gpu: bool):
     return ort.InferenceSession(path, options, providers=["CUDAExecutionProvider", "CPUExecutionProvider"] if gpu else ["CPUExecutionProvider"])
 
 
+class _Onnx:
+    def __init__(self, model: str, gpu: bool):
+        self.session = _session(model, gpu)
+        self.input = self.session.get_inputs()[0].name
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return np.asarray(self.session.run(None, {self.input: x})[0])
+
+
+class _Torch:
+    """A TorchScript file; the library is loaded only here."""
+
+    def __init__(self, model: str, gpu: bool):
+        try:
+            import torch
+        except ImportError as e:
+            raise ImportError("running a TorchScript model needs torch") from e
+        self.torch, self.device = torch, "cuda" if gpu and torch.cuda.is_available() else "cpu"
+        self.model = torch.jit.load(model, map_location=self.device).eval()
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        with self.torch.no_grad():
+            return np.asarray(self.model(self.torch.from_numpy(x).to(self.device)).cpu().numpy())
+
+
 class OnnxDetector:
     """A segmentation model file that maps (1, 3, H, W) to a probability map; sides go up to multiples of 32."""
 
+    runner: type = _Onnx
+
     def __init__(self, model: str, gpu: bool = False, params: Params = DEFAULT):
-        self.session, self.params = _session(model, gpu), params
+        self.run, self.params = self.runner(model, gpu), params
 
     def detect(self, image: np.ndarray) -> list[np.ndarray]:
         h, w = image.shape[:2]
@@ -92,15 +130,27 @@ class OnnxDetector:
             return []
         H, W = (h + 31) // 32 * 32, (w + 31) // 32 * 32
         x = (resize(image, H, W) / 255 - np.array(self.params.mean, np.float32)) / np.array(self.params.std, np.float32)
-        prob = np.asarray(self.session.run(None, {self.session.get_inputs()[0].name: x.astype(np.float32).transpose(2, 0, 1)[None]})[0]).reshape(H, W)
+        prob = self.run(np.ascontiguousarray(x.astype(np.float32).transpose(2, 0, 1)[None])).reshape(H, W)
         return boxes(prob, w / W, h / H, w, h, self.params)
 
 
+class TorchDetector(OnnxDetector):
+    runner = _Torch
+
+
 class OnnxRecognizer:
-    """A line model file that maps (N, 3, 32, W) to logits (N, T, classes), with a vocabulary; the last class is blank."""
+    """A line model file that maps (N, 3, 32, W) to logits (N, T, classes), with a vocabulary; the last class is blank.
+
+    The vocabulary is the letters themselves, or the path of a text file that holds them.
+    """
+
+    runner: type = _Onnx
 
     def __init__(self, model: str, vocabulary: str, gpu: bool = False, params: Params = DEFAULT):
-        self.session, self.vocabulary, self.params = _session(model, gpu), vocabulary, params
+        if os.path.isfile(vocabulary):
+            with open(vocabulary, encoding="utf-8") as f:
+                vocabulary = f.read().rstrip("\n")
+        self.run, self.vocabulary, self.params = self.runner(model, gpu), vocabulary, params
 
     def recognize(self, image: np.ndarray, quads: list) -> list[tuple[str, float]]:
         out, lines = [("", 0.0)] * len(quads), []
@@ -116,11 +166,15 @@ class OnnxRecognizer:
             batch = np.zeros((len(part), 3, self.params.input_height, part[-1][0]), np.float32)
             for k, (width, _, line) in enumerate(part):
                 batch[k, :, :, :width] = line
-            for (_, i, _), logits in zip(part, self.session.run(None, {self.session.get_inputs()[0].name: batch})[0]):
+            for (_, i, _), logits in zip(part, self.run(batch)):
                 out[i] = ctc(np.asarray(logits, float), self.vocabulary)
         return out
 
 
+class TorchRecognizer(OnnxRecognizer):
+    runner = _Torch
+
+
 def ctc(logits: np.ndarray, vocabulary: str) -> tuple[str, float]:
     """functions.ctc for one array."""
     best = logits.argmax(1)
@@ -130,7 +184,8 @@ def ctc(logits: np.ndarray, vocabulary: str) -> tuple[str, float]:
 
 
 REGISTRY = Registry()
-REGISTRY.register_detector("dark", DarkDetector)
-REGISTRY.register_detector("onnx", OnnxDetector)
-REGISTRY.register_recognizer("blank", BlankRecognizer)
-REGISTRY.register_recognizer("onnx", OnnxRecognizer)
+# The names of the public interface.
+for name, cls in (("dark", DarkDetector), ("dbnet", TorchDetector), ("dbnet-onnx", OnnxDetector), ("onnx", OnnxDetector)):
+    REGISTRY.register_detector(name, cls)
+for name, cls in (("blank", BlankRecognizer), ("crnn", TorchRecognizer), ("crnn-onnx", OnnxRecognizer), ("onnx", OnnxRecognizer)):
+    REGISTRY.register_recognizer(name, cls)

@@ -7,9 +7,26 @@ import numpy as np
 from ..params import DEFAULT, Params
 
 
-def components(mask: np.ndarray) -> tuple[np.ndarray, int]:
-    """Labels (0: none) of 8-connected regions, numbered by their first pixel; by runs and union-find."""
-    parent: list[int] = []
+def components(mask: np.ndarray, corners: bool = True) -> tuple[np.ndarray, int]:
+    """Labels (0: none) of connected regions, numbered by their first pixel; by runs of rows and union-find.
+
+    Regions are joined over edges and, with ``corners``, over corners too.
+    """
+    mask = np.asarray(mask, bool)
+    out = np.zeros(mask.shape, np.int32)
+    wide = np.zeros((mask.shape[0], mask.shape[1] + 2), np.int8)
+    wide[:, 1:-1] = mask
+    step = np.diff(wide, axis=1)
+    y, x0 = np.nonzero(step == 1)
+    x1 = np.nonzero(step == -1)[1]
+    if not len(y):
+        return out, 0
+    # runs of the row above that a run touches are neighbours in the list of all runs
+    line, reach = mask.shape[1] + 3, int(corners)
+    lo = np.searchsorted(y * line + x1, (y - 1) * line + x0 + 1 - reach, "left")
+    hi = np.searchsorted(y * line + x0, (y - 1) * line + x1 - 1 + reach, "right")
+    many = np.where(y > 0, np.maximum(hi - lo, 0), 0)
+    parent = list(range(len(y)))
 
     def find(a: int) -> int:
         while parent[a] != a:
@@ -17,39 +34,33 @@ def components(mask: np.ndarray) -> tuple[np.ndarray, int]:
             a = parent[a]
         return a
 
-    runs, above = [], []
-    for y, row in enumerate(mask):
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], row, [False]]).astype(np.int8)))
-        now = []
-        for x0, x1 in zip(edge[::2].tolist(), edge[1::2].tolist()):
-            k = len(parent)
-            parent.append(k)
-            for a, b, j in above:
-                if a <= x1 and x0 <= b:  # touching at a corner counts
-                    r, s = sorted((find(j), find(k)))
-                    parent[s] = r
-            now.append((x0, x1, k))
-            runs.append((y, x0, x1, k))
-        above = now
-    out, names = np.zeros(mask.shape, np.int32), {}
-    for y, x0, x1, k in runs:
-        out[y, x0:x1] = names.setdefault(find(k), len(names) + 1)
-    return out, len(names)
+    for k in np.flatnonzero(many).tolist():
+        for j in range(int(lo[k]), int(lo[k] + many[k])):
+            r, s = sorted((find(j), find(k)))
+            parent[s] = r
+    roots, name = np.unique([find(k) for k in range(len(y))], return_inverse=True)
+    size = x1 - x0
+    first = y * mask.shape[1] + x0
+    out.ravel()[np.repeat(first - np.cumsum(size) + size, size) + np.arange(int(size.sum()))] = np.repeat(name + 1, size)
+    return out, len(roots)
+
+
+def outside(mask: np.ndarray) -> np.ndarray:
+    """Pixels off the mask that the frame reaches over edges."""
+    label = components(np.pad(~np.asarray(mask, bool), 1, constant_values=True), corners=False)[0]
+    return label[1:-1, 1:-1] == label[0, 0]
 
 
 def filled(region: np.ndarray) -> np.ndarray:
-    """The region with its holes: all that the outside, joined by edges, does not reach."""
-    grid = np.pad(~region, 1, constant_values=True)
-    # the outside, joined by edges, is the component of the padded frame
-    label, todo = np.zeros(grid.shape, bool), [(0, 0)]
-    label[0, 0] = True
-    while todo:
-        y, x = todo.pop()
-        for j, i in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
-            if 0 <= j < grid.shape[0] and 0 <= i < grid.shape[1] and grid[j, i] and not label[j, i]:
-                label[j, i] = True
-                todo.append((j, i))
-    return ~label[1:-1, 1:-1]
+    """The region with its holes: all that the outside does not reach."""
+    return ~outside(region)
+
+
+def external(label: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the regions that border on the outside; those in a hole of another do not."""
+    free = np.pad(outside(label > 0), 1, constant_values=True)
+    seen = free[:-2, 1:-1] | free[2:, 1:-1] | free[1:-1, :-2] | free[1:-1, 2:]
+    return np.setdiff1d(np.unique(label[seen]), [0])
 
 
 STEPS = ((1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1))
@@ -136,10 +147,14 @@ def boxes(prob: np.ndarray, sx: float, sy: float, width: int, height: int, param
     with np.errstate(invalid="ignore"):
         label, n = components(prob > params.threshold)
     out = []
-    for k in range(1, n + 1):
-        ys, xs = np.nonzero(label == k)
-        y0, x0 = ys.min(), xs.min()
-        region = filled(label[y0 : ys.max() + 1, x0 : xs.max() + 1] == k)
+    ys, xs = np.nonzero(label)
+    order = np.argsort(label[ys, xs], kind="stable")
+    ys, xs = ys[order], xs[order]
+    cuts = np.searchsorted(label[ys, xs], np.arange(1, n + 1))
+    tops, lows, lefts, rights = (f.reduceat(v, cuts) if n else v for f, v in ((np.minimum, ys), (np.maximum, ys), (np.minimum, xs), (np.maximum, xs)))
+    for k in external(label, n).tolist():
+        y0, x0 = tops[k - 1], lefts[k - 1]
+        region = filled(label[y0 : lows[k - 1] + 1, x0 : rights[k - 1] + 1] == k)
         line = outline(region) + [x0, y0]
         size = polygon_area(line)
         if size < params.min_area:
@@ -168,3 +183,21 @@ def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
     top = image[y0][:, x0] * (1 - fx) + image[y0][:, x1] * fx
     low = image[y1][:, x0] * (1 - fx) + image[y1][:, x1] * fx
     return top * (1 - fy) + low * fy
+
+
+def ctc_loss(logits: np.ndarray, target: list[int], blank: int) -> float:
+    """Negative log probability that the steps spell the target, over all alignments; infinite where none fits."""
+    x = logits.astype(float)
+    logp = x - x.max(1, keepdims=True)
+    logp -= np.log(np.exp(logp).sum(1, keepdims=True))
+    marks = [blank, *(c for t in target for c in (t, blank))]
+    skip = np.array([i > 1 and c != blank and c != marks[i - 2] for i, c in enumerate(marks)])
+    now = np.full(len(marks), -np.inf)
+    now[0] = 0.0
+    for t, step in enumerate(logp[:, marks]):
+        if t:
+            one, two = np.append(-np.inf, now[:-1]), np.where(skip, np.append([-np.inf] * 2, now[:-2])[: len(now)], -np.inf)
+            now = np.logaddexp(np.logaddexp(now, one), two) + step
+        else:
+            now[:2] = step[:2]
+    return float(-np.logaddexp.reduce(now[-2:])) if len(x) else (0.0 if not target else float("inf"))

@@ -23,7 +23,7 @@ from ..sources.sinks import to_pages, to_text
 RAW = f"path string, page int, unit string, forced boolean, blocks {BLOCKS}, found array<struct<quad: array<array<double>>, text: string, confidence: double>>"
 
 
-def _read(detector: tuple[str, dict], recognizer: tuple[str, dict], dpi: int, force_ocr: bool, shape):
+def _read(detector: tuple[str, dict], recognizer: tuple[str, dict], dpi: int, force_ocr: bool, parts: int, shape):
     def look(image):
         d, r = REGISTRY.get("detector", detector[0], **detector[1]), REGISTRY.get("recognizer", recognizer[0], **recognizer[1])
         quads = d.detect(image)
@@ -31,9 +31,9 @@ def _read(detector: tuple[str, dict], recognizer: tuple[str, dict], dpi: int, fo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, content, kind in zip(*(b.column(c) for c in ("path", "content", "kind"))):
+            for path, content, kind, part in zip(*(b.column(c) for c in ("path", "content", "kind", "part"))):
                 data = content.as_py()
-                pages = pdf_pages(data, dpi, force_ocr) if kind.as_py() == "pdf" else [(1, [], decode(data))]
+                pages = pdf_pages(data, dpi, force_ocr, part.as_py(), parts) if kind.as_py() == "pdf" else [(1, [], decode(data))]
                 for page, blocks, image in pages:  # one page in memory at a time
                     found = look(image) if image is not None else []
                     yield pa.RecordBatch.from_pylist([{"path": path.as_py(), "page": page, "unit": "pt" if image is None else "px", "forced": force_ocr or kind.as_py() != "pdf", "blocks": blocks, "found": found}], shape)
@@ -41,13 +41,20 @@ def _read(detector: tuple[str, dict], recognizer: tuple[str, dict], dpi: int, fo
     return run
 
 
-def regions(found: DataFrame, detector: tuple[str, dict] = ("dark", {}), recognizer: tuple[str, dict] = ("blank", {}), dpi: int = 200, force_ocr: bool = False) -> DataFrame:
-    """Region rows of files; a page without regions has one row with region_ord -1."""
+def regions(found: DataFrame, detector: tuple[str, dict] = ("dark", {}), recognizer: tuple[str, dict] = ("blank", {}), dpi: int = 200, force_ocr: bool = False, parts: int = 1) -> DataFrame:
+    """Region rows of files; a page without regions has one row with region_ord -1.
+
+    The pages of a PDF file are read in ``parts`` ranges, each by a task of its own.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     shape = to_arrow_schema(_parse_datatype_string(RAW))
-    raw = found.mapInArrow(_read(detector, recognizer, dpi, force_ocr, shape), RAW)
+    ranges = F.when(F.col("kind") == "pdf", F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    found = found.withColumn("part", F.explode(ranges))
+    if parts > 1:
+        found = found.repartition(parts, "path", "part")
+    raw = found.mapInArrow(_read(detector, recognizer, dpi, force_ocr, parts, shape), RAW)
     layer = F.when(F.col("forced"), F.array().cast("array<struct<quad: array<array<double>>, text: string, confidence: double>>")).otherwise(layout.layer_regions(F.col("blocks")))
     told = raw.withColumn("layer", layer).withColumn("method", layout.method(F.col("layer")))
     told = told.withColumn("all", F.when(F.col("method") == "text", F.col("layer")).otherwise(F.col("found")))
@@ -61,25 +68,37 @@ def get_optimal_workers(max_workers: int = 4) -> int:
 
 
 class OCRPipeline:
-    """One document at a time on a session; the same plan runs over whole folders through ``regions``."""
-
-    def __init__(self, *, onnx: bool = True, gpu: bool = False, detector: str | None = None, recognizer: str | None = None, detector_settings: dict | None = None, recognizer_settings: dict | None = None, spark: SparkSession | None = None):
-        plain = "onnx" if onnx and detector_settings and recognizer_settings else None
-        more = {"gpu": gpu} if plain else {}
-        self.detector = (detector or plain or "dark", {**(detector_settings or {}), **more})
-        self.recognizer = (recognizer or plain or "blank", {**(recognizer_settings or {}), **more})
-        for kind, (name, _) in (("detector", self.detector), ("recognizer", self.recognizer)):
-            if name not in REGISTRY.names(kind):
-                raise ValueError(f"no {kind} named {name!r}; there are: {', '.join(REGISTRY.names(kind))}")
+    """One document at a time on a session; the same plan runs over whole folders through ``regions``.
+
+    Without names of components those of the model files are taken, which need ``model``, ``recognizer_model`` and
+    ``vocabulary`` (or these in the settings); what is missing is said at once.
+    """
+
+    def __init__(
+        self,
+        *,
+        onnx: bool = True,
+        gpu: bool = False,
+        detector: str | None = None,
+        recognizer: str | None = None,
+        model: str | None = None,
+        recognizer_model: str | None = None,
+        vocabulary: str | None = None,
+        detector_settings: dict | None = None,
+        recognizer_settings: dict | None = None,
+        spark: SparkSession | None = None,
+    ):
+        tail = "-onnx" if onnx else ""
+        detector, recognizer = detector or f"dbnet{tail}", recognizer or f"crnn{tail}"
+        self.detector = detector, REGISTRY.settings("detector", detector, **{"model": model, "gpu": gpu, **(detector_settings or {})})
+        self.recognizer = recognizer, REGISTRY.settings("recognizer", recognizer, **{"model": recognizer_model, "vocabulary": vocabulary, "gpu": gpu, **(recognizer_settings or {})})
         self.spark = spark or SparkSession.builder.getOrCreate()
 
     def pages(self, path: str, *, dpi: int = 200, force_ocr: bool = False, workers: int | None = None) -> DataFrame:
         if not os.path.exists(path):
             raise FileNotFoundError(path)
-        found = files(self.spark, os.path.abspath(path))
-        if workers is not None:
-            found = found.repartition(max(1, workers))
-        return to_pages(regions(found, self.detector, self.recognizer, dpi, force_ocr)).orderBy("page")
+        parts = max(1, workers if workers is not None else get_optimal_workers()) if is_pdf(path) else 1
+        return to_pages(regions(files(self.spark, os.path.abspath(path)), self.detector, self.recognizer, dpi, force_ocr, parts)).orderBy("page")
 
     def process_image(self, path: str) -> list[dict]:
         return [r for p in self.pages(path).collect() for r in p.asDict(True)["results"]]

@@ -88,10 +88,13 @@ def open_pdf(data: bytes):
     return fitz.open(stream=data, filetype="pdf")
 
 
-def pdf_pages(data: bytes, dpi: int, force_ocr: bool):
-    """(page from 1, blocks, raster or None) of each page; a raster only where the layer has no text or ocr is forced."""
+def pdf_pages(data: bytes, dpi: int, force_ocr: bool, part: int = 0, parts: int = 1):
+    """(page from 1, blocks, raster or None) of each page in one of ``parts`` even ranges; a raster only where the layer has no
+    text or ocr is forced."""
     with open_pdf(data) as doc:
-        for i, page in enumerate(doc):
+        n = doc.page_count
+        for i in range(part * n // parts, (part + 1) * n // parts):
+            page = doc[i]
             blocks = [{"type": b["type"], "lines": [{"bbox": [float(v) for v in n["bbox"]], "spans": [{"text": s.get("text", "")} for s in n["spans"]]} for n in b.get("lines", [])]} for b in page.get_text("dict")["blocks"]]
             blank = not any("".join(s["text"] for s in n["spans"]).strip() for b in blocks if b["type"] == 0 for n in b["lines"])
             image = None
@@ -101,3 +104,11 @@ def pdf_pages(data: bytes, dpi: int, force_ocr: bool):
                 pix = page.get_pixmap(matrix=fitz.Matrix(dpi / 72, dpi / 72))
                 image = np.frombuffer(pix.samples, np.uint8).reshape(pix.height, pix.width, pix.n)[:, :, :3]
             yield i + 1, blocks, image
+
+
+def thumbnail(image: np.ndarray, by: int = 3) -> np.ndarray:
+    """The image with its sides divided, for a look at marked regions."""
+    from ..operators.kernels import resize
+
+    h, w = image.shape[:2]
+    return np.clip(np.rint(resize(image, max(1, h // by), max(1, w // by))), 0, 255).astype(np.uint8)

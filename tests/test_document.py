@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pagemill import OCRPipeline, Registry, cli
+from pagemill import REGISTRY, OCRPipeline, Registry, cli
 from pagemill.backends import BlankRecognizer, DarkDetector, ctc
 from pagemill.functions import ctc as ctc_sql
 from pagemill.functions import geometry, layout, text
@@ -94,6 +94,169 @@ def test_components_touch_at_corners_and_holes_fill():
     assert kernels.filled(ring).all() and not kernels.filled(np.zeros((3, 3), bool)).any()
 
 
+def test_only_outer_regions_have_boxes():
+    """A ring with a blob in its hole is one region; the blob beside it is another."""
+    m = np.zeros((60, 90), bool)
+    m[5:45, 5:45], m[12:38, 12:38], m[20:30, 20:30], m[10:40, 60:80] = True, False, True, True
+    label, n = kernels.components(m)
+    assert n == 3 and kernels.external(label, n).tolist() == [1, 2]
+    assert len(kernels.boxes(m.astype(float), 1, 1, 90, 60)) == 2
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 9), st.integers(1, 9), st.integers(0, 2**32), st.booleans())
+def test_components_by_definition(h, w, seed, corners):
+    m = np.random.default_rng(seed).random((h, w)) < 0.5
+    want, n = np.zeros(m.shape, int), 0
+    for y, x in zip(*np.nonzero(m)):
+        if not want[y, x]:
+            n, todo = n + 1, [(y, x)]
+            while todo:
+                a, b = todo.pop()
+                if 0 <= a < h and 0 <= b < w and m[a, b] and not want[a, b]:
+                    want[a, b] = n
+                    todo += [(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if corners or not (i and j)]
+    got, k = kernels.components(m, corners)
+    assert k == n and (got == want).all()
+
+
+def test_a_large_page_is_quick():
+    import time
+
+    page = np.zeros((2200, 1600))
+    for y in range(10, 2190, 40):
+        for x in range(10, 1560, 45):
+            page[y : y + 24, x : x + 36] = 0.9
+    began = time.process_time()
+    found = kernels.boxes(page, 1, 1, 1600, 2200)
+    assert len(found) == 55 * 35 and time.process_time() - began < 6
+    frame = np.pad(np.zeros((1480, 1480), bool), 10, constant_values=True)
+    began = time.process_time()
+    assert kernels.filled(frame).all() and time.process_time() - began < 1
+
+
+def test_missing_models_are_said_at_once(spark, capsys, tmp_path):
+    with pytest.raises(ValueError, match="'dbnet-onnx' needs: model"):
+        OCRPipeline(spark=spark)
+    with pytest.raises(ValueError, match="'crnn' needs: model, vocabulary"):
+        OCRPipeline(spark=spark, onnx=False, model="m.pt")
+    with pytest.raises(ValueError, match="there are: blank, crnn, crnn-onnx, onnx"):
+        OCRPipeline(spark=spark, detector="dark", recognizer="none")
+    (tmp_path / "a.png").write_bytes(encode_png(box_image()))
+    assert cli.main([str(tmp_path / "a.png")]) == 1 and "needs: model" in capsys.readouterr().err
+    assert {"dbnet", "dbnet-onnx"} <= set(REGISTRY.list_detectors()) and {"crnn", "crnn-onnx"} <= set(REGISTRY.list_recognizers())
+
+
+class Stand:
+    """Stands for a model run: darkness as probability, and logits that spell ab."""
+
+    def __init__(self, model, gpu):
+        self.model = model
+
+    def __call__(self, x):
+        if self.model == "detector":
+            grey = x[0].transpose(1, 2, 0) * np.array([0.229, 0.224, 0.225]) + [0.485, 0.456, 0.406]
+            return (1 - grey.mean(2))[None, None].astype(np.float32)
+        return np.tile(np.eye(3, dtype=np.float32)[[0, 2, 1]] * 9, (len(x), 1, 1))
+
+
+def test_model_classes_prepare_and_decode(monkeypatch, tmp_path):
+    from pagemill.backends import OnnxDetector, OnnxRecognizer, TorchDetector
+
+    monkeypatch.setattr(OnnxDetector, "runner", Stand)
+    monkeypatch.setattr(OnnxRecognizer, "runner", Stand)
+    quads = OnnxDetector("detector").detect(box_image())
+    assert len(quads) == 1 and quads[0][0][0] < 50 and quads[0][2][0] > 350
+    (tmp_path / "letters.txt").write_text("ab\n")
+    for letters in ("ab", str(tmp_path / "letters.txt")):
+        got = OnnxRecognizer("recognizer", letters).recognize(box_image(), [*quads, np.zeros((4, 2)), *quads * 5])
+        assert [t for t, _ in got] == ["ab", "", *["ab"] * 5] and got[0][1] > 0.9 and got[1][1] == 0
+    with pytest.raises(ImportError, match="torch"):
+        TorchDetector("m.pt")
+
+
+class Paper:
+    """Stands for an open PDF: odd pages with a text layer, even ones blank."""
+
+    page_count = 7
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+    def __getitem__(self, i):
+        return Sheet(i)
+
+
+class Sheet:
+    def __init__(self, i):
+        self.i = i
+
+    def get_text(self, _):
+        lines = [{"bbox": (0, y, 9, y + 1), "spans": [{"text": f"p{self.i + 1} l{y}"}]} for y in (2, 1)] if self.i % 2 == 0 else []
+        return {"blocks": [{"type": 0, "lines": lines}, {"type": 1}]}
+
+    def get_pixmap(self, matrix):
+        import types
+
+        image = box_image()
+        return types.SimpleNamespace(samples=image.tobytes(), height=200, width=400, n=3)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 10])
+def test_pdf_by_ranges(monkeypatch, parts):
+    import sys
+    import types
+
+    import pyarrow as pa
+
+    from pagemill.plans import pipeline
+    from pagemill.sources import images
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    monkeypatch.setattr(images, "open_pdf", lambda data: Paper())
+    monkeypatch.setitem(sys.modules, "fitz", types.SimpleNamespace(Matrix=lambda *a: a))
+    shape = to_arrow_schema(_parse_datatype_string(pipeline.RAW))
+    for forced in (False, True):
+        run = pipeline._read(("dark", {}), ("blank", {}), 200, forced, parts, shape)
+        rows = pa.record_batch({"path": ["a.pdf"] * parts, "content": [b""] * parts, "kind": ["pdf"] * parts, "part": list(range(parts))})
+        got = [r for b in run(iter([rows])) for r in b.to_pylist()]
+        assert [r["page"] for r in got] == list(range(1, 8))
+        assert [r["unit"] for r in got] == (["px"] * 7 if forced else ["pt", "px"] * 3 + ["pt"])
+        assert [len(r["found"]) for r in got] == ([1] * 7 if forced else [0, 1] * 3 + [0])
+
+
+def test_images_of_a_folder_in_parts(spark, tmp_path):
+    from pagemill.plans.pipeline import regions
+
+    for n in "ab":
+        (tmp_path / f"{n}.png").write_bytes(encode_png(box_image()))
+    assert sorted(r["region_ord"] for r in regions(files(spark, str(tmp_path)), parts=4).collect()) == [0, 0]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 5), st.lists(st.integers(0, 2), max_size=3), st.integers(0, 1000))
+def test_ctc_loss_by_all_paths(steps, target, seed):
+    import itertools
+
+    x = np.random.default_rng(seed).normal(size=(steps, 4))
+    p = np.exp(x) / np.exp(x).sum(1, keepdims=True)
+    total = 0.0
+    for path in itertools.product(range(4), repeat=steps):
+        spelled = [c for i, c in enumerate(path) if c != 3 and (not i or c != path[i - 1])]
+        total += np.prod([p[i, c] for i, c in enumerate(path)]) * (spelled == target)
+    assert np.exp(-kernels.ctc_loss(x, target, 3)) == pytest.approx(total, abs=1e-12)
+
+
+def test_thumbnail():
+    from pagemill.sources.images import thumbnail
+
+    assert thumbnail(box_image()).shape == (66, 133, 3) and thumbnail(np.zeros((1, 1, 3), np.uint8)).shape == (1, 1, 3)
+
+
 def test_thin_line_has_no_area():
     line = kernels.outline(np.ones((1, 100), bool))
     assert kernels.polygon_area(line) == 0
@@ -146,13 +309,14 @@ def test_registry():
 def test_files_to_json(spark, tmp_path, capsys):
     path = tmp_path / "page.png"
     path.write_bytes(encode_png(box_image()))
-    run = OCRPipeline(spark=spark)
+    stubs = {"detector": "dark", "recognizer": "blank"}
+    run = OCRPipeline(spark=spark, **stubs)
     regions = run.process_image(str(path))
     assert [set(r) for r in regions] == [{"quad", "text", "confidence"}]
     assert regions[0]["text"] == "" and regions[0]["confidence"] == 0.0
     assert run.get_text(str(path)) == ""
     out = tmp_path / "r.json"
-    assert cli.main([str(path), "--out", str(out)]) == 0
+    assert cli.main([str(path), "--out", str(out), "--detector", "dark", "--recognizer", "blank"]) == 0
     assert json.loads(out.read_text()) == regions
     assert cli.main([]) == 1 and cli.main([str(tmp_path / "none.png")]) == 1
     assert [r["kind"] for r in files(spark, str(tmp_path / "*.png")).collect()] == ["image"]

@@ -23,10 +23,10 @@ def test_whole_texts(spark):
     from pagemill.queries import LETTERS
 
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    got = {r["doc_id"]: (r["n"], r["codes"]) for r in QUERIES["ctc_encode_whole_targets"](spark, SF).collect()}
+    got = {r["doc_id"]: (r["n"], r["codes"]) for r in QUERIES["ctc_encode_targets"](spark, SF).collect()}
     codes = {i: [str(LETTERS.index(c)) for c in t if c in LETTERS] for i, t in texts.items()}
     assert got == {i: (len(c), ",".join(c)) for i, c in codes.items()}
-    n = {r["doc_id"]: r["count"] for r in QUERIES["zip_all_words"](spark, SF).groupBy("doc_id").count().collect()}
+    n = {r["doc_id"]: r["count"] for r in QUERIES["zip_truncate"](spark, SF).groupBy("doc_id").count().collect()}
     words = {i: len(re.split("[ \n]+", t)) for i, t in texts.items()}
     assert n == {i: min(words[i], i * 37 % 700 + 1) for i in texts}
     assert {words[i] < i * 37 % 700 + 1 for i in texts} == {True, False}
@@ -56,3 +56,19 @@ def test_the_rest_stands_without_llm(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"], cwd=tmp_path, capture_output=True, text=True, check=True)
     assert said.stdout.split() == [str(len(QUERIES)), "False"]
+
+
+def test_only_absent_operators_are_passed_over(tmp_path):
+    """A dependency that the subpackage lacks is an error, not a silent loss of its queries."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/pagemill", tmp_path / "pagemill", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    (tmp_path / "pagemill" / "llm").mkdir()
+    (tmp_path / "pagemill" / "llm" / "queries.py").write_text("import no_such_library\n")
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, capture_output=True, text=True)
+    assert said.returncode and "no_such_library" in said.stderr
