@@ -11,39 +11,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import bagminhash, packing, pii, substring_dedup, toxicity
-from pagemill.llm.common import Scratch, load
+from pagemill.llm.common import Carried, Scratch, load
 from pagemill.llm.queries import tokenizer
 
 
-def _with_text(docs: DataFrame, names: list[str], text) -> DataFrame:
-    """The documents' columns with a new text, and n_chars of it."""
-    docs = docs.withColumn("text", text)
-    return (docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in names else docs).select(*names)
+def _with_text(out: DataFrame, carried: Carried) -> DataFrame:
+    """The documents' columns from rows with a new column text, and n_chars of it."""
+    out = out.select(*carried.columns())
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in carried.names else out
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.7 or more go."""
+    """Documents with a toxicity score of 0.7 or more go. Null and empty texts are scored as texts without windows; repeated
+    rows share one fate; an empty table stays empty; other columns of any name stay."""
+    carried = Carried(docs, text="text")
     model = toxicity.fit(docs, load(spark, sf_dir, "labels"))
-    return model.score(docs).where(F.col("score") < toxicity.LIMIT).select(*docs.columns)
+    return model.score(carried.frame).where(F.col("score") < toxicity.LIMIT).select(*carried.columns())
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays: that with the least id."""
+    """One document of each near-duplicate class stays: that with the least id. Null and empty texts are classes of their own;
+    of repeated rows one stays; an empty table stays empty; other columns of any name stay."""
     return bagminhash.deduplicated(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words in windows of 35 that occur more than once go; every document stays, if with an empty text."""
-    return _with_text(substring_dedup.remove_repeats(docs), docs.columns, F.col("kept"))
+    """Words in windows of 35 that occur more than once go; every document stays, if with an empty text. Null texts stay null;
+    repeated rows count as copies; an empty table stays empty; other columns of any name stay."""
+    carried = Carried(docs, text="text")
+    out = substring_dedup.remove_repeats(carried.frame)
+    return _with_text(out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept"))), carried)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data, plain or disguised, becomes its kind in angle brackets."""
-    return _with_text(pii.masked(docs), docs.columns, F.col("text"))
+    """Personal data, plain or disguised, becomes its kind in angle brackets. Null texts stay null and empty ones empty;
+    repeated rows are treated alike; an empty table stays empty; other columns of any name stay."""
+    carried = Carried(docs, text="text")
+    return _with_text(pii.masked(carried.frame), carried)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens with their ids, placed in sequences. Null and empty texts are one piece each."""
+    """Pieces of at most 2048 tokens with their ids, placed in sequences. Null and empty texts are one piece each; repeated
+    rows are packed as often as they come; an empty table gives no rows; other columns than doc_id and text are left."""
     return packing.pack_documents(docs.select("doc_id", "text"), tokenizer("byte_bpe_50k.json"))
 
 
