@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_width
 
-#: Queries of a cell and of a group in it, candidates of a cell and of a block, dimensions of a step.
-QUERY_BLOCK, QUERIES, CANDIDATE_GROUP, TILE, DIMS = 16_384, 512, 200_000, 4096, 16
+#: Queries of a cell and of a group in it, candidates of a cell at most and at least, and of a block, dimensions of a step.
+QUERY_BLOCK, QUERIES, CANDIDATE_GROUP, LEAST_GROUP, TILE, DIMS = 16_384, 512, 200_000, 8192, 4096, 16
 EXACT = 1 << 53
 
 
@@ -185,7 +185,8 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col:
     n = rows.agg(F.count("*"), F.count(F.when(F.col("id") % every == 0, 1))).first()
     width = shuffle_width(spark)
     blocks = max(1, -(-n[1] // QUERY_BLOCK))
-    groups = max(1, -(-n[0] // CANDIDATE_GROUP), -(-width // blocks))
+    # cells enough for every task, but not so small that the k best of each are many against its candidates
+    groups = max(1, -(-n[0] // CANDIDATE_GROUP), min(-(-width // blocks), n[0] // LEAST_GROUP))
     blob = "block long, ids binary, norm double, dims int, values binary"
     qs = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).mapInArrow(_blob("q", blocks), blob)
     cs = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(groups))).mapInArrow(_blob("c", groups), blob)
