@@ -484,6 +484,36 @@ def test_near_duplicates(spark, cell):
     assert [got[i] for i in range(len(texts))] == components(texts)
 
 
+def test_near_duplicates_of_documents(spark):
+    """Classes of the documents of sf0.01 against all pairs that share a shingle."""
+    table = queries.load(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    bags, holders = {}, {}
+    for i, t in texts_of(table):
+        w = spark_words(t)
+        bags[i] = {}
+        for k in range(max(1, len(w) - 4) if w else 0):
+            g = tuple(w[k : k + 5])
+            bags[i][g] = bags[i].get(g, 0) + 1
+        for g in bags[i]:
+            holders.setdefault(g, []).append(i)
+    root = {i: i for i in bags}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = 0
+    for a, b in {(min(a, b), max(a, b)) for of in holders.values() for a in of for b in of if a != b}:
+        both = sum(min(n, bags[b].get(g, 0)) for g, n in bags[a].items())
+        if 5 * both >= 4 * (sum(bags[a].values()) + sum(bags[b].values()) - both):
+            links += 1
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.classes(table).collect()}
+    assert links > 50 and got == {i: find(i) for i in bags}
+
+
 def test_near_duplicates_odd(odd, none):
     got = bagminhash.classes(odd)
     assert got.count() == odd.count()
