@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, grouped, grow, named, shrink, shuffle_width, slices
+from .common import Scratch, grouped, grow, named, shrink, shuffle_width, slices, trim
 from .words import Words, mix
 
 #: Counts up to TOP are discounted.
@@ -185,7 +185,7 @@ def _add_words(buckets: int):
 
 class Grams:
     """The distinct n-grams of a block: number of the context among the n-grams one shorter (the last: the begin of a text),
-    word, n-gram that stays without the first word, key and learned count; of: which one each token ends."""
+    word, n-gram that stays without the first word; of: which one each token ends."""
 
     def __init__(self, k: Block, of: np.ndarray, key: np.ndarray, often: np.ndarray):
         before = np.empty(len(of), np.int64)
@@ -194,8 +194,12 @@ class Grams:
         both, at, self.of = np.unique(before * k.kinds + k.codes, return_index=True, return_inverse=True)
         self.context, self.word = np.divmod(both, k.kinds)
         self.short, self.context_key, self.often = of[at], key[self.context], often[self.context]
-        self.learned = np.bincount(self.of, np.repeat(k.train, k.counts), len(both)).astype(np.int64)
-        self.key = mix(mix(self.context_key.astype(np.uint64) + np.uint64(1)) ^ k.number_of[self.word].astype(np.uint64)).view(np.int64)
+
+    def learned(self, k: Block) -> np.ndarray:
+        return np.bincount(self.of, np.repeat(k.train, k.counts), len(self.word)).astype(np.int64)
+
+    def key(self, k: Block) -> np.ndarray:
+        return mix(mix(self.context_key.astype(np.uint64) + np.uint64(1)) ^ k.number_of[self.word].astype(np.uint64)).view(np.int64)
 
     def split(self, k: Block, buckets: int, tokens: int, hot: int) -> Iterator[tuple[int, np.ndarray]]:
         c, w = self.context_key, k.number_of[self.word]
@@ -208,7 +212,7 @@ class Grams:
 class Block:
     """A block with what has come back to it: grams, count and p of the highest order that is known."""
 
-    def __init__(self, rows: list[dict], buckets: int, hot: int, uni: Unigrams, known: list[Known]):
+    def __init__(self, rows: list[dict], buckets: int, hot: int, uni: Unigrams, known: list[Known], final: bool):
         own = next(r for r in rows if r["kind"] == 0)
         self.number, self.ids = own["block"], own["ids"]
         self.train, self.counts = np.frombuffer(own["train"], np.uint8).astype(bool), grow(own["counts"], np.uint32).astype(np.int64)
@@ -224,15 +228,16 @@ class Block:
         self.of, self.key, self.count = self.codes, self.number_of, self.total
         self.p = uni.p(self.total)
         for order, sums in enumerate(known, 2):
-            self.learn(order, back, buckets, hot, uni, sums)
+            self.learn(order, back, buckets, hot, uni, sums, not final or order <= len(known))
 
     def grams(self) -> Grams:
         return Grams(self, self.of, self.key, self.count)
 
-    def learn(self, order: int, back: dict, buckets: int, hot: int, uni: Unigrams, sums: Known) -> None:
-        """From order - 1 to order."""
+    def learn(self, order: int, back: dict, buckets: int, hot: int, uni: Unigrams, sums: Known, more: bool) -> None:
+        """From order - 1 to order; more: another order will follow."""
         g = self.grams()
-        count, alpha, scale = np.empty(len(g.key), np.int64), np.empty(len(g.key)), np.empty(len(g.key))
+        n_grams = len(g.word)
+        count, alpha, scale = np.empty(n_grams, np.int64), np.empty(n_grams), np.empty(n_grams)
         for bucket, i in g.split(self, buckets, uni.total, hot):
             r = back[order, bucket]
             count[i] = grow(r["a"], np.int64)
@@ -248,7 +253,9 @@ class Block:
         of = np.maximum(g.often, 1)
         p = np.where(count > 0, sums.d[np.where(count <= TOP, count, 0)] * count / of * scale, alpha * self.p[g.short])
         begin = self.key[-1], self.count[-1]
-        self.of, self.key, self.count, self.p = g.of, np.append(g.key, begin[0]), np.append(count, begin[1]), p
+        self.of, self.p = g.of, p
+        if more:
+            self.key, self.count = np.append(g.key(self), begin[0]), np.append(count, begin[1])
 
 
 class Known:
@@ -267,20 +274,22 @@ class Known:
 def _blocks_of(batches, *how):
     for _, rows in grouped(batches, "block"):
         yield Block(rows, *how)
+        trim()
 
 
 def _send_grams(buckets: int, hot: int, uni: Unigrams, known: list[Known]):
     """Of a block's n-grams, for each bucket: contexts (a), words (b), learned counts and lower P (c), contexts' counts and runs (d)."""
 
     def run(batches):
-        for k in _blocks_of(batches, buckets, hot, uni, known):
+        for k in _blocks_of(batches, buckets, hot, uni, known, False):
             g, out = k.grams(), []
+            learned = g.learned(k)
             lower = k.p[g.short].view(np.int64) if known else k.total[g.word]
             for bucket, i in g.split(k, buckets, uni.total, hot):
                 c = g.context_key[i]
                 new = np.flatnonzero(np.diff(c, prepend=c[0] - 1))
                 runs = np.diff(np.append(new, len(i)))
-                out.append({"bucket": bucket, "block": k.number, "a": shrink(np.diff(c[new], prepend=0)), "b": shrink(k.number_of[g.word[i]]), "c": shrink(np.stack([g.learned[i], lower[i]]).ravel()), "d": shrink(np.stack([g.often[i[new]], runs]).ravel())})
+                out.append({"bucket": bucket, "block": k.number, "a": shrink(np.diff(c[new], prepend=0)), "b": shrink(k.number_of[g.word[i]]), "c": shrink(np.stack([learned[i], lower[i]]).ravel()), "d": shrink(np.stack([g.often[i[new]], runs]).ravel())})
                 if len(out) == 64:
                     yield _mail(out)
                     out = []
@@ -327,6 +336,7 @@ def _add_grams(uni: Unigrams, share: int, first: bool):
             few = np.bincount(count[count <= TOP + 1], minlength=TOP + 2)
             out.append({"bucket": bucket, "block": -1, "a": few.astype(np.int64).tobytes(), "b": names[hot].tobytes(), "c": n[hot].astype(np.int64).tobytes(), "d": seen[hot].tobytes()})
             yield _mail(out)
+            trim()
 
     return run
 
@@ -352,7 +362,7 @@ def _score(buckets: int, hot: int, uni: Unigrams, known: list[Known]):
     kinds = [("id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
     def run(batches):
-        for k in _blocks_of(batches, buckets, hot, uni, known):
+        for k in _blocks_of(batches, buckets, hot, uni, known, True):
             add = lambda v: np.add.reduceat(v, k.first) if len(k.first) else v
             base = np.log10((k.total + 1) / (uni.total + uni.kinds + 1))
             cols = (k.ids, k.train, k.counts, add((k.total[k.codes] > 0).astype(np.int64)), np.full(len(k.ids), uni.total), add(base[k.codes]), add(np.log10(k.p)[k.of]))
