@@ -379,10 +379,32 @@ def queries_rows(sf, n):
     return [r for r in rows if r[1]] + [r for r in rows if not r[1]][:n]
 
 
-def test_toxicity_held_out(spark):
+@pytest.fixture(scope="module")
+def judged(spark):
+    """Held-out labelled documents of sf0.1 with their scores."""
     sf = "/root/testdata/sf0.1"
-    got = QUERIES["op5_toxicity"](spark, sf).join(queries.load(spark, sf, "labels"), "doc_id").where("held_out").toPandas()
-    assert got[got.toxic == 1].predicted.mean() > 0.45 and got[got.toxic == 0].predicted.mean() < 0.03
+    return QUERIES["op5_toxicity"](spark, sf).join(queries.load(spark, sf, "labels"), "doc_id").where("held_out").toPandas()
+
+
+@pytest.mark.xfail(strict=True, reason="recall 0.53 since both dictionaries are trained by zstandard; the word list before had 0.75")
+def test_toxicity_held_out(judged):
+    got = judged
+    assert got[got.toxic == 1].predicted.mean() > 0.6 and got[got.toxic == 0].predicted.mean() < 0.03
+
+
+def test_toxicity_leaves_ordinary_texts(judged):
+    assert judged[judged.toxic == 0].predicted.mean() < 0.03
+
+
+@pytest.mark.xfail(strict=True, reason="zstandard's training spends the toxic dictionary on the frequent word")
+def test_toxicity_learns_words_of_a_rare_language():
+    """Twelve of 2400 toxic texts share a word that no ordinary text has."""
+    rng = np.random.default_rng(1)
+    text = lambda *more: " ".join([*(f"w{i}" for i in rng.integers(0, 3000, 12)), *more])
+    bad = [text("bomentega") for _ in range(12)] + [text("vilgrat") for _ in range(2388)]
+    ordinary, toxic = toxicity.dictionaries(bad, [text() for _ in range(2400)])
+    listed = toxic[: len(toxic) - len(ordinary)].split()
+    assert {b"bomentega", b"vilgrat"} <= set(listed)
 
 
 def test_toxicity_scores_by_definition(spark):
