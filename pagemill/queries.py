@@ -119,6 +119,39 @@ def ctc_confidence(spark, sf_dir):
 SQL["ctc_confidence"] = f"SELECT vec_id, round(min(1 / list_sum(list_transform(t, lambda x: exp(x - list_max(t))))), 6) AS confidence FROM ({_STEPS}) GROUP BY vec_id"
 
 
+def _targets(spark, sf_dir):
+    """Logits with a target of 0 to 9 classes below the blank, some longer than the steps can spell."""
+    target = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: (F.col("vec_id") * (i + 3) % 23 % 7).cast("int"))
+    return _logits(spark, sf_dir).select("vec_id", "logits", F.slice(target, F.lit(1), (F.col("vec_id") % 10).cast("int")).alias("target"))
+
+
+def ctc_loss(spark, sf_dir):
+    x = _targets(spark, sf_dir)
+    return x.select("vec_id", F.size("target").alias("n"), F.round(ctc.loss(F.col("logits"), F.col("target"), 7), 6).alias("loss"))
+
+
+def ctc_loss_mean(spark, sf_dir):
+    x = _targets(spark, sf_dir).withColumn("loss", ctc.loss(F.col("logits"), F.col("target"), 7))
+    return x.select(F.round(ctc.mean_loss(F.col("loss"), F.col("target")), 6).alias("loss"))
+
+
+# by probabilities, not logarithms, and a row for each step: eight steps cannot underflow
+_LOSS = f"""
+WITH RECURSIVE v AS (SELECT vec_id, list_slice(list_transform(range(0, 9), lambda i: (vec_id * (i + 3) % 23 % 7)::INTEGER), 1, vec_id % 10) AS target FROM embeddings),
+m AS (SELECT vec_id, len(target)::INTEGER n, list_concat([7], flatten(list_transform(target, lambda c: [c, 7]))) m FROM v),
+p AS (SELECT vec_id, s, list_transform(t, lambda x: exp(x) / list_sum(list_transform(t, lambda y: exp(y)))) p FROM ({_STEPS})),
+a AS (
+  SELECT vec_id, n, m, 0 s, list_transform(range(1, len(m) + 1), lambda i: CASE WHEN i <= 2 THEN p[m[i] + 1] ELSE 0.0 END) a FROM m JOIN p USING (vec_id) WHERE p.s = 0
+  UNION ALL
+  SELECT a.vec_id, n, m, a.s + 1, list_transform(range(1, len(m) + 1), lambda i: p[m[i] + 1] * (a.a[i] + CASE WHEN i > 1 THEN a.a[i - 1] ELSE 0.0 END + CASE WHEN i > 2 AND m[i] <> 7 AND m[i] <> m[i - 2] THEN a.a[i - 2] ELSE 0.0 END))
+  FROM a JOIN p ON p.vec_id = a.vec_id AND p.s = a.s + 1
+), e AS (SELECT vec_id, n, a[len(m)] + CASE WHEN n > 0 THEN a[len(m) - 1] ELSE 0.0 END q FROM a WHERE s = 7),
+l AS (SELECT vec_id, n, CASE WHEN q > 0 THEN -ln(q) ELSE 0.0 END loss FROM e)
+"""
+SQL["ctc_loss"] = _LOSS + "SELECT vec_id, n, round(loss, 6) AS loss FROM l"
+SQL["ctc_loss_mean"] = _LOSS + "SELECT round(avg(loss / greatest(n, 1)), 6) AS loss FROM l"
+
+
 def ctc_encode_targets(spark, sf_dir):
     codes = text.encode_targets(F.col("text"), LETTERS)
     return _docs(spark, sf_dir).select("doc_id", F.size(codes).alias("n"), F.array_join(codes.cast("array<string>"), ",").alias("codes"))
@@ -420,7 +453,7 @@ SQL["image_roundtrip"] = "SELECT vec_id, sum((i + 1) * (floor(abs(embedding[i +
 QUERIES = {
     f.__name__: f
     for f in (
-        text_pages, text_pages_dirty, text_layer_lines, page_method_routing, suffix_dispatch, ctc_greedy_decode, ctc_confidence, ctc_encode_targets,
+        text_pages, text_pages_dirty, text_layer_lines, page_method_routing, suffix_dispatch, ctc_greedy_decode, ctc_confidence, ctc_loss, ctc_loss_mean, ctc_encode_targets,
         quad_order_points, quad_order_ties, quad_shoelace_area, unclip_distance, rescale_clip, crop_bounds, ceil32_scale, recog_width, width_bucket,
         bucket_padding, region_score_filter, zip_truncate, scatter_default, bbox_to_quad, pad_right, threshold_mask, pixel_normalize, head_n_regions,
         confidence_format, regions_json, palette_cycle, page_counts, components_8conn, min_area_rect, image_detect_stub, image_roundtrip,

@@ -251,6 +251,23 @@ def test_ctc_loss_by_all_paths(steps, target, seed):
     assert np.exp(-kernels.ctc_loss(x, target, 3)) == pytest.approx(total, abs=1e-12)
 
 
+def test_ctc_loss_expression(spark):
+    """Equal to the kernel, with zero for targets that the steps cannot spell; long inputs do not underflow."""
+    rng = np.random.default_rng(3)
+    cases = [(rng.normal(size=(int(rng.integers(0, 9)), 4)), rng.integers(0, 3, int(rng.integers(0, 5))).tolist()) for _ in range(60)]
+    cases += [(rng.normal(size=(3, 4)), [1, 1]), (rng.normal(size=(2, 4)), [1, 1]), (rng.normal(size=(2000, 4)) * 9, [0, 1, 2, 2] * 50), (np.zeros((0, 4)), [])]
+    table = [(i, x.tolist(), t) for i, (x, t) in enumerate(cases)] + [(-1, None, [1]), (-2, [[1.0, 0.0, 0.0, 0.0]], None)]
+    df = spark.createDataFrame(table, "i long, x array<array<double>>, t array<int>").repartition(4)
+    df = df.select("i", "t", ctc_sql.loss(F.col("x"), F.col("t"), 3).alias("loss"))
+    got = {r["i"]: r["loss"] for r in df.collect()}
+    want = [kernels.ctc_loss(x, t, 3) for x, t in cases]
+    want = [0.0 if np.isinf(w) else w for w in want]
+    assert [got[i] for i in range(len(cases))] == pytest.approx(want, rel=1e-9, abs=1e-9)
+    assert got[-1] is None and got[-2] is None
+    mean = np.mean([w / max(1, len(t)) for w, (_, t) in zip(want, cases)])
+    assert df.select(ctc_sql.mean_loss(F.col("loss"), F.col("t"))).first()[0] == pytest.approx(mean)
+
+
 def test_thumbnail():
     from pagemill.sources.images import thumbnail
 
