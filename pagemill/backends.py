@@ -13,7 +13,7 @@ from typing import Any
 
 import numpy as np
 
-from .operators.kernels import boxes, resize
+from .operators.kernels import boxes, resize, resize_smooth
 from .params import DEFAULT, Params
 
 
@@ -129,7 +129,7 @@ class OnnxDetector:
         if not h or not w:
             return []
         H, W = (h + 31) // 32 * 32, (w + 31) // 32 * 32
-        x = (resize(image, H, W) / 255 - np.array(self.params.mean, np.float32)) / np.array(self.params.std, np.float32)
+        x = (resize(image, H, W).astype(np.float32) / 255 - np.array(self.params.mean, np.float32)) / np.array(self.params.std, np.float32)
         prob = self.run(np.ascontiguousarray(x.astype(np.float32).transpose(2, 0, 1)[None])).reshape(H, W)
         return boxes(prob, w / W, h / H, w, h, self.params)
 
@@ -158,8 +158,8 @@ class OnnxRecognizer:
             x0, y0 = np.maximum(np.trunc(np.min(q, 0)), 0).astype(int)
             x1, y1 = np.minimum(np.trunc(np.max(q, 0)).astype(int), [image.shape[1], image.shape[0]])
             if x1 > x0 and y1 > y0:
-                width = max(self.params.min_width, int((x1 - x0) * self.params.input_height / (y1 - y0)))
-                lines.append((width, i, resize(image[y0:y1, x0:x1], self.params.input_height, width).transpose(2, 0, 1) / 255))
+                width = max(self.params.min_width, int((x1 - x0) * (self.params.input_height / (y1 - y0))))
+                lines.append((width, i, resize_smooth(image[y0:y1, x0:x1], self.params.input_height, width).transpose(2, 0, 1).astype(np.float32) / 255))
         lines.sort(key=lambda n: n[:2])
         for at in range(0, len(lines), self.params.bucket_size):
             part = lines[at : at + self.params.bucket_size]

@@ -300,7 +300,42 @@ def test_detector_contract():
     assert DarkDetector().detect(np.full((200, 400, 3), 255, np.uint8)) == []
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.integers(1, 14), st.integers(1, 14), st.integers(1, 14), st.integers(1, 14), st.integers(0, 9))
+def test_smooth_resize_by_definition(h, w, height, width, seed):
+    """In fractions, so that halves are halves."""
+    from fractions import Fraction
+    from math import floor
+
+    image = np.random.default_rng(seed).integers(0, 256, (h, w, 3), np.uint8)
+    half = Fraction(1, 2)
+
+    def axis(row, size):
+        n, out = len(row), []
+        reach = max(Fraction(n, size), 1)
+        for i in range(size):
+            weights = [max(0, 1 - abs(x + half - (i + half) * n / size) / reach) for x in range(n)]
+            out.append(floor(sum(a * int(v) for a, v in zip(weights, row)) / sum(weights) + half))
+        return out
+
+    wide = np.array([[axis(image[y, :, c], width) for c in range(3)] for y in range(h)]).transpose(0, 2, 1)
+    want = np.array([[axis(wide[:, x, c], height) for c in range(3)] for x in range(width)]).transpose(2, 0, 1)
+    got = kernels.resize_smooth(image, height, width)
+    assert got.dtype == np.uint8 and (got == want).all()
+
+
+def test_resizes_differ_where_a_pattern_shrinks():
+    """Antialiasing sees all pixels of a fine pattern; two pixels an axis do not."""
+    fine = np.zeros((64, 64, 3), np.uint8)
+    fine[:, ::4] = 255
+    assert (kernels.resize_smooth(fine, 8, 8)[:, 1:-1] == 64).all()
+    coarse = kernels.resize(fine, 8, 8)
+    assert coarse.dtype == np.uint8 and (coarse == 128).all()  # halfway between pixels 3 (0) and 4 (255) of each eight
+    assert (kernels.resize(fine, 64, 64) == fine).all() and (kernels.resize_smooth(fine, 64, 64) == fine).all()
+
+
 def test_resize_keeps_a_flat_image():
+    assert (kernels.resize_smooth(np.full((7, 5, 3), 9, np.uint8), 32, 64) == 9).all()
     assert np.allclose(kernels.resize(np.full((7, 5, 3), 9, np.uint8), 32, 64), 9)
 
 
