@@ -13,9 +13,13 @@ a group of copies costs links in proportion to its size; exact overlap decides.
 that still spans several of them is dealt to cells of bounded size, in which members of unlike components are compared: by
 weight, by their signatures (5.3 standard deviations below the threshold, which one pair in 10 million at the threshold
 misses), and those that have a partner left by exact overlap of their texts. Members of the band's largest component meet only
-those outside it, so a large group of copies costs rows in proportion to its size. A band with very many members outside its
-largest component gives way to its pairs with further bands (a pair at 0.8 that shares just one band, one in 5000, is then
-missed). Only links leave a cell.
+those outside it, so a large group of copies costs rows in proportion to its size. Only links leave a cell.
+
+Wide bands. Members of bands with very many members outside the largest component meet where they share one of their rarest
+shingles instead. In any order of all shingles, two texts at the threshold t share one of the first w - ceil(t * w) + 1 of
+the w shingles of each (the first one they share lies there), so this loses no pair; rarest first keeps these groups small.
+A group that is itself wide is taken within each wide band, and what is still wide is compared chunk by chunk. There the cells
+compare counts of shingles in bins, which bound the overlap from above, instead of signatures.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +41,10 @@ from .words import Words, digest, gram_hashes, mix, ranges
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 28, 5
 #: Members of a band that meet at once, and bytes of text signed at once.
 CELL, SIGN_BYTES = 1024, 1 << 20
-#: Cells' worth of members outside its largest component from which a band gives way to pairs of bands.
+#: Cells' worth of members outside its largest component from which members of a band meet by their rarest shingles.
 WIDE = 8
+#: Slots in which shingles are counted to tell the rare ones, and bins of a text's shingles that bound an overlap.
+SLOTS, BINS = 1 << 20, 128
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 GOLD, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -146,42 +153,89 @@ def _verify(ratio: tuple[int, int]):
     return run
 
 
+def copies(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles by text, the j-th copy of one with a hash of its own, and where each text begins: overlaps are those of sets."""
+    gram, first = sorted_shingles(texts)
+    at = np.arange(len(gram))
+    new = np.ones(len(gram), bool)
+    new[1:] = gram[1:] != gram[:-1]
+    new[first[:-1][first[:-1] < len(gram)]] = True
+    return mix(gram + (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64) * GOLD), first
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SLOTS, np.int64)
+    for b in slices(batches):
+        total += np.bincount((copies(b.column("text"))[0] & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+    on = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[on])], ["slot", "n"])
+
+
+def _mark(ratio: tuple[int, int], often: np.ndarray):
+    """Of each text its rarest shingles, by the counts of their slots: as many as hold one of any text at the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            token, first = copies(b.column("text"))
+            weight = np.diff(first)
+            owner = np.repeat(np.arange(b.num_rows), weight)
+            bins = np.bincount(owner * BINS + (token >> np.uint64(32)).astype(np.int64) % BINS, minlength=b.num_rows * BINS).astype(np.uint32)
+            token = token[np.lexsort((token, often[(token & np.uint64(SLOTS - 1)).astype(np.int64)], owner))]
+            many = np.minimum(weight + ratio[0] * weight // -ratio[1] + 1, weight)
+            marks = token[np.repeat(first[:-1], many) + ranges(many)].view(np.int64)
+            out = b.select(["node"]).append_column("weight", pa.array(weight.astype(np.int64)))
+            out = out.append_column("sig", pa.array([x.tobytes() for x in bins.reshape(-1, BINS)], pa.binary()))
+            yield out.append_column("marks", pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(marks)))
+
+    return run
+
+
 class Cell:
-    """Members of a cell of a band: the chunk of side 0 against itself, or against the chunk of side 1."""
+    """Members of a cell of a band: the chunk of side 0 against itself, or against the chunk of side 1.
 
-    def __init__(self, rows: list[dict], ratio: tuple[int, int]):
-        self.rows, self.least = rows, ratio[0] / ratio[1]
+    Where they are bounded, sig holds the counts of their shingles in bins, else their signature.
+    """
+
+    def __init__(self, rows: list[dict], ratio: tuple[int, int], bounded: bool = False):
+        self.rows, self.ratio, self.bounded = rows, ratio, bounded
         names = {c: i for i, c in enumerate(dict.fromkeys(r["comp"] for r in rows))}
         self.comp, self.comps = np.array([names[r["comp"]] for r in rows]), len(names)
         self.side, self.weight = np.array([r["side"] for r in rows]), np.array([r["weight"] for r in rows])
-        self.sig = np.stack([np.frombuffer(r["sig"], np.uint16) for r in rows])
-        n = self.sig.shape[1]
+        self.sig = np.stack([np.frombuffer(r["sig"], np.uint32 if bounded else np.uint16) for r in rows])
+        n, least = self.sig.shape[1], ratio[0] / ratio[1]
         # what agrees this rarely is below the threshold, but for one pair in 10 million at the threshold itself
-        self.agree = self.least * n - 5.3 * math.sqrt(self.least * (1 - self.least) * n)
+        self.agree = least * n - 5.3 * math.sqrt(least * (1 - least) * n)
+
+    def near(self, x: int, y: np.ndarray) -> np.ndarray:
+        if not self.bounded:
+            return (self.sig[y] == self.sig[x]).sum(1) >= self.agree
+        both = np.minimum(self.sig[y], self.sig[x]).sum(1, dtype=np.int64)
+        return self.ratio[1] * both >= self.ratio[0] * (self.weight[x] + self.weight[y] - both)
 
     def pairs(self) -> Iterator[tuple[int, np.ndarray]]:
         """Members, and those of other components that may reach the threshold with them; a pair comes once."""
         if self.comps < 2:
             return
         crossed, number = self.side.max() != self.side.min(), np.arange(len(self.rows))
+        upper, lower = self.weight * self.ratio[1], self.weight * self.ratio[0]
         for x in range(len(self.rows)):
             if crossed and self.side[x]:
                 continue
-            other = (self.comp != self.comp[x]) & (self.weight >= self.weight[x] * self.least) & (self.weight[x] >= self.weight * self.least)
+            other = (self.comp != self.comp[x]) & (upper >= lower[x]) & (upper[x] >= lower)
             y = np.flatnonzero(other & ((self.side != self.side[x]) if crossed else number > x))
             if len(y):
-                y = y[(self.sig[y] == self.sig[x]).sum(1) >= self.agree]
+                y = y[self.near(x, y)]
             if len(y):
                 yield x, y
 
 
-def _meet(ratio: tuple[int, int]):
+def _meet(ratio: tuple[int, int], bounded: bool):
     """The members of a cell that have anyone to be compared with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in grouped(batches, "cell"):
             keep: set[int] = set()
-            for x, y in Cell(rows, ratio).pairs():
+            for x, y in Cell(rows, ratio, bounded).pairs():
                 keep |= {x, *y.tolist()}
             if keep:
                 yield pa.RecordBatch.from_pylist([rows[i] for i in sorted(keep)], CELL_TYPE)
@@ -190,12 +244,12 @@ def _meet(ratio: tuple[int, int]):
     return run
 
 
-def _compare(ratio: tuple[int, int]):
+def _compare(ratio: tuple[int, int], bounded: bool):
     """Links between components inside a cell, by exact overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in grouped(batches, "cell"):
-            c, out = Cell(rows, ratio), []
+            c, out = Cell(rows, ratio, bounded), []
             root = np.arange(c.comps)
             gram, first = sorted_shingles(pa.array([r["text"] for r in rows], pa.string()))
             for x, y in c.pairs():
@@ -222,23 +276,26 @@ def several(members: DataFrame) -> DataFrame:
     return members.join(bands, "band").select("band", "node", "comp", (F.col("comp") == F.col("top.comp")).alias("main"), (F.col("all") - F.col("top.k")).alias("n"), F.col("top.k").alias("m"))
 
 
-def narrowed(members: DataFrame, nodes: DataFrame, cell: int, wide: int) -> DataFrame:
-    """Bands whose members outside the largest component would fill more than ``wide`` cells give way to pairs of bands.
+def marked(far: DataFrame, texts: DataFrame, scratch: Scratch, ratio: tuple[int, int], most: int) -> tuple[DataFrame, DataFrame]:
+    """Of members of wide bands: groups (as bands) by their rarest shingles, and node, weight, sig with the counts in bins.
 
-    A member then meets those that share this band and a further one; twice at most (three bands), and what is still wide
-    goes to cells of its chunks.
+    Members of unlike components that share a band and reach the threshold share a group. Of groups with the same members one
+    stays. A group with more than ``most`` members outside its largest component is taken within each band.
     """
     kinds = "band", "node", "comp", "main", "n", "m"
-    now, done = several(members).withColumn("at", F.lit(-1)), None
-    for _ in range(2):
-        fits = now.where(F.col("n") <= cell * wide).select(*kinds)
-        done = fits if done is None else done.unionByName(fits)
-        far = now.where(F.col("n") > cell * wide).join(nodes.select("node", "bands"), "node")
-        # further bands come in the order of the list, so that a set of bands has one name
-        more = far.select("band", "node", "comp", "at", F.posexplode("bands").alias("to", "further")).where("to > at and further <> band")
-        more = more.select(F.xxhash64("band", "further").alias("band"), "node", "comp", F.col("to").alias("at"))
-        now = several(more.select("band", "node", "comp")).join(more.select("band", "node", "at"), ["band", "node"])
-    return done.unionByName(now.select(*kinds))
+    text = scratch.write(texts.join(far.select("node").distinct(), "node"), "far")
+    counts = text.mapInArrow(_count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(SLOTS, np.uint32)
+    often[counts.column("slot").to_numpy()] = np.minimum(counts.column("n").to_numpy(), 0xFFFFFFFF)
+    marks = scratch.write(text.mapInArrow(_mark(ratio, often), "node binary, weight long, sig binary, marks array<long>"), "marks")
+    each = marks.select("node", F.explode("marks").alias("band")).join(far.select("node", "comp").distinct(), "node")
+    comp, node = F.xxhash64("comp"), (F.xxhash64("node"), F.xxhash64(F.lit(7), "node"))
+    sets = each.groupBy("band").agg(F.min(comp).alias("x"), F.max(comp).alias("y"), F.count("*").alias("k"), *(F.bit_xor(h).alias(f"h{i}") for i, h in enumerate(node)))
+    one = sets.where("x <> y").groupBy("k", "h0", "h1").agg(F.min("band").alias("band")).select("band")
+    groups = scratch.write(several(scratch.write(each.join(one, "band"), "unlike")), "groups")
+    wide = groups.where(F.col("n") > most).select(F.col("band").alias("mark"), "node")
+    within = wide.join(far.select("band", "node", "comp"), "node").select(F.xxhash64("band", "mark").alias("band"), "node", "comp")
+    return groups.where(F.col("n") <= most).select(*kinds).unionByName(several(scratch.write(within, "within")).select(*kinds)), marks.select("node", "weight", "sig")
 
 
 def dealt(members: DataFrame, cell: int) -> DataFrame:
@@ -304,14 +361,22 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thresho
     comps = components(links, scratch, "one")
     # bands that still span several components: their members meet in cells, first by signatures, then by text
     label = members.join(comps, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
-    label = scratch.write(narrowed(label, nodes, cell, wide), "several")
-    cells = dealt(label, cell).join(nodes.select("node", "weight", "sig"), "node").select("cell", "side", "node", "comp", "weight", "sig")
+    label = scratch.write(several(label), "several")
+    far = label.where(F.col("n") > cell * wide)
+    rounds = [(label.where(F.col("n") <= cell * wide), nodes.select("node", "weight", "sig"), False)]
+    if far.limit(1).count():
+        rounds.append((*marked(far, texts, scratch, ratio, cell * wide), True))
     at_cell = lambda df: df.repartition(width, "cell").sortWithinPartitions("cell")
-    close = scratch.write(at_cell(cells).mapInArrow(_meet(ratio), CELL_SCHEMA), "close")
-    more = scratch.write(at_cell(close.join(texts, "node")).mapInArrow(_compare(ratio), "a binary, b binary"), "more")
+    found = []
+    for i, (groups, facts, bounded) in enumerate(rounds):
+        cells = dealt(groups, cell).join(facts, "node").select("cell", "side", "node", "comp", "weight", "sig")
+        close = scratch.write(at_cell(cells).mapInArrow(_meet(ratio, bounded), CELL_SCHEMA), f"close_{i}")
+        found.append(scratch.write(at_cell(close.join(texts, "node")).mapInArrow(_compare(ratio, bounded), "a binary, b binary"), f"more_{i}"))
+        scratch.drop(f"close_{i}")
+    more = reduce(DataFrame.union, found)
     if more.limit(1).count():
         comps = components(links.union(more), scratch, "two")
-    scratch.drop("nodes", "members", "texts", "several", "close")
+    scratch.drop("nodes", "members", "texts", "several", "far", "marks", "unlike", "groups", "within")
     labelled = signed.drop("bands", "weight", "sig").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node", F.concat(F.lit("empty ").cast("binary"), F.col("n").cast("string").cast("binary"))))
     kinds = labelled.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "n")).alias("least"), F.count("*").alias("class_size"))
     out = labelled.join(scratch.write(kinds, "kinds"), "comp")  # written, so that the join's shuffle can split a large class

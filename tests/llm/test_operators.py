@@ -506,6 +506,49 @@ def test_near_duplicates(spark, cell):
     assert [got[i] for i in range(len(texts))] == components(texts)
 
 
+def common_body(pairs):
+    """Pairs of texts just above 0.8; all share a body, by which unlike ones overlap by 0.6."""
+    out = []
+    for p in range(pairs):
+        own = [f"b{i}" for i in range(79)] + [f"p{p}x{i}" for i in range(14)]
+        out += [" ".join(own + [f"{side}{p}x{i}" for i in range(11)]) for side in "ac"]
+    return out
+
+
+@pytest.mark.parametrize("wide", [0, 2, 1000])
+def test_wide_bands_lose_no_pair(spark, wide):
+    """With one band, pairs of a wide band share no further one; with wide=0 groups of shingles are wide too."""
+    texts = common_body(60)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = bagminhash._sign(1, 1)(iter([pa.RecordBatch.from_pydict({"text": texts})]))
+    band = [k[0] for b in keys for k in b.column("bands").to_pylist()]
+    got = {r["doc_id"]: r["class_id"] for r in bagminhash.classes(df, bands=1, rows=1, cell=8, wide=wide).collect()}
+    alike = [p for p in range(60) if band[2 * p] == band[2 * p + 1]]
+    assert len(alike) > 30 and all(got[2 * p] == got[2 * p + 1] == 2 * p for p in alike)
+    assert all(got[i] in (i, i - i % 2) for i in range(120))
+
+
+def test_rarest_shingles_and_bins_lose_no_pair():
+    """Any two texts at the threshold share a mark, and their bins bound the overlap from above, whatever the counts say."""
+    r, ratio = np.random.default_rng(1), (4, 5)
+    near = 0
+    for _ in range(200):
+        a = [f"w{x}" for x in r.integers(0, int(r.integers(1, 40)), int(r.integers(1, 150)))]
+        b = list(a)
+        for _ in range(int(r.integers(0, 5))):
+            b[int(r.integers(0, len(b)))] = f"z{r.integers(0, 3)}"
+        pair = [" ".join(a), " ".join(b) + " tail" * int(r.integers(0, 3))]
+        often = r.integers(0, 3, bagminhash.SLOTS).astype(np.uint32)
+        batch = pa.RecordBatch.from_pydict({"node": [b"a", b"b"], "text": pair})
+        (out,) = bagminhash._mark(ratio, often)(iter([batch]))
+        x, y = (set(m) for m in out.column("marks").to_pylist())
+        rows = [{"comp": i, "side": 0, "weight": w, "sig": s} for i, w, s in zip("ab", out.column("weight").to_pylist(), out.column("sig").to_pylist())]
+        if bagminhash.overlap(*pair) >= 0.8:
+            near += 1
+            assert x & y and len(list(bagminhash.Cell(rows, ratio, True).pairs())) == 1
+    assert near > 50
+
+
 def test_near_duplicates_of_documents(spark):
     """Classes of the documents of sf0.01 against all pairs that share a shingle."""
     table = queries.load(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
