@@ -61,7 +61,13 @@ def crop_bounds(p: Column, width: int, height: int) -> Column:
 
 
 def ceil32(v: Column) -> Column:
-    return F.ceil(v / 32).cast("long") * 32
+    """The next multiple of 32, of whole numbers; exact beyond 2 ** 53, and negative ones are cut toward zero as SQL does."""
+    return F.call_function("div", v.cast("long") + 31, F.lit(32)) * 32
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """a / b as doubles; by zero it is infinite, or not a number for zero by zero, and no error in ANSI mode."""
+    return F.when(b == 0, a * F.lit(float("inf"))).otherwise(a / b)
 
 
 def recognizer_width(w: Column, h: Column, height: int = DEFAULT.input_height, least: int = DEFAULT.min_width) -> Column:

@@ -217,7 +217,7 @@ SQL["crop_bounds"] = f"SELECT *, x1 <= x0 OR y1 <= y0 AS empty FROM (SELECT vec_
 
 def ceil32_scale(spark, sf_dir):
     h = F.col("n_chars")
-    return _t(spark, sf_dir, "documents").select("doc_id", geometry.ceil32(h).alias("h32"), F.round(h / geometry.ceil32(h), 9).alias("scale"))
+    return _t(spark, sf_dir, "documents").select("doc_id", geometry.ceil32(h).alias("h32"), F.round(geometry.ratio(h, geometry.ceil32(h)), 9).alias("scale"))
 
 
 SQL["ceil32_scale"] = "SELECT doc_id, (n_chars + 31) // 32 * 32 AS h32, round(n_chars::DOUBLE / ((n_chars + 31) // 32 * 32), 9) AS scale FROM documents"

@@ -32,6 +32,19 @@ def test_whole_texts(spark):
     assert {words[i] < i * 37 % 700 + 1 for i in texts} == {True, False}
 
 
+def test_ceil32_scale_of_odd_lengths(spark, tmp_path):
+    """Lengths of zero or less, absent ones and ones beyond 2 ** 53 give what the SQL gives, null and not a number told apart."""
+    import duckdb
+
+    lengths = [0, None, 1, 32, 33, -1, -33, -64, 2**53 + 1, 2**62 + 1, 2**63 - 32, -(2**63)]
+    spark.createDataFrame(list(enumerate(lengths)), "doc_id long, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = {r["doc_id"]: repr((r["h32"], r["scale"])) for r in QUERIES["ceil32_scale"](spark, str(tmp_path)).collect()}
+    assert got == {i: repr((h, s)) for i, h, s in con.sql(SQL["ceil32_scale"]).fetchall()}
+    assert got[0] == "(0, nan)" and got[1] == "(None, None)"
+
+
 def test_scan_reads_needed_columns_only(spark):
     plan = QUERIES["page_counts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "embedding" not in plan and "source" not in plan
